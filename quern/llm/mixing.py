@@ -89,7 +89,9 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots:
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk).cast("long")))
     )
     first = F.col("chunk") * chunk
-    one = chunks.repartition("rank", "chunk").withColumn(
+    # as many tasks as a shuffle has: chunks are few and small, what they become isn't
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = chunks.repartition(tasks, "rank", "chunk").withColumn(
         "slot", F.explode(F.sequence(first, F.least(first + chunk, F.col("n_slots")) - 1))
     )
     nth = F.pmod(F.col("slot"), F.col("blocks"))
@@ -146,7 +148,8 @@ def mixed(placed: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFrame:
     words = F.col("times") * (high - low) + F.greatest(F.least(high, F.col("head")) - low, F.lit(0))
     keys = ["rank", "bucket", "row", "doc_id", "size", "source_size", "target"]
     return (
-        pieces.join(uses, ["rank", "index"], "left")
+        # the planner can't tell how many slots a source becomes, and would broadcast them
+        pieces.join(uses.hint("merge"), ["rank", "index"], "left")
         .groupBy(*keys)
         .agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
     )

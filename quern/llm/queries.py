@@ -12,6 +12,7 @@ PLACES = {
     "op2_quality_rules": "quality",
     "op3_license_scan": "licenses",
     "op4_chat_formatting": "chat",
+    "op6_near_duplicates": "neardup",
     "op9_token_output": "tokens",
     "op10_mixing": "mixing",
 }
