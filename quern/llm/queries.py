@@ -13,6 +13,7 @@ PLACES = {
     "op3_license_scan": "licenses",
     "op4_chat_formatting": "chat",
     "op6_near_duplicates": "neardup",
+    "op7_toxicity": "toxicity",
     "op8_decontamination": "decontamination",
     "op9_token_output": "tokens",
     "op10_mixing": "mixing",
