@@ -43,6 +43,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with the least row alone of every doc_id that several rows have. Without such rows, docs as it is."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated id"))
+    repeated = saved(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(repeated["repeated id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = docs.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(row).alias("least")).select("least.*")
+    return saved(docs.join(repeated, same, "left_anti").unionByName(least), "distinct")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once; a lambda variable isn't recomputed where the optimizer merges projections."""
     return F.element_at(F.transform(F.array(value), body), 1)

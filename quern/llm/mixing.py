@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import n_words, saved, table
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, one_row_each, saved, table
 
 BLOCK = 128
 SHARD_SLOTS = 1024
 SEED = 20
 ROUNDS = 24
+#: A word with the blanks before it.
+PIECE = BLANK_CLASS + "*" + WORD_CLASS
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -132,37 +134,85 @@ def offsets(sized: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def mixed(placed: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Joins blocks by index: words that the slots take of each document, repeats counted."""
+def pieces(placed: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Joins blocks by index: for each document and block the words low to high of the block that are the document's,
+    the times that slots take the whole block, and the length of the beginning that a last slot takes."""
     uses = dealt.groupBy("rank", "index").agg(
         F.count_if(F.col("take") == block).alias("times"),
         F.coalesce(F.max(F.when(F.col("take") < block, F.col("take"))), F.lit(0)).alias("head"),
     )
     last = F.floor((F.col("offset") + F.col("size") - 1) / block).cast("long")
-    pieces = placed.withColumn(
+    split = placed.withColumn(
         "index",
         F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("offset") / block).cast("long"), last))),
     )
-    low = F.greatest(F.col("offset") - F.col("index") * block, F.lit(0))
-    high = F.least(F.col("offset") + F.col("size") - F.col("index") * block, F.lit(block))
-    words = F.col("times") * (high - low) + F.greatest(F.least(high, F.col("head")) - low, F.lit(0))
-    keys = ["rank", "bucket", "row", "doc_id", "size", "source_size", "target"]
     return (
         # the planner can't tell how many slots a source becomes, and would broadcast them
-        pieces.join(uses.hint("merge"), ["rank", "index"], "left")
-        .groupBy(*keys)
-        .agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+        split.join(uses.hint("merge"), ["rank", "index"], "left")
+        .withColumn("low", F.greatest(F.col("offset") - F.col("index") * block, F.lit(0)))
+        .withColumn("high", F.least(F.col("offset") + F.col("size") - F.col("index") * block, F.lit(block)))
+        .withColumns({x: F.coalesce(x, F.lit(0)) for x in ("times", "head")})
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken. docs needs doc_id, source and the text."""
+def mixed(found: DataFrame) -> DataFrame:
+    """Words that the slots take of each document, repeats counted."""
+    head = F.greatest(F.least("high", "head") - F.col("low"), F.lit(0))
+    words = F.col("times") * (F.col("high") - F.col("low")) + head
+    keys = ["rank", "bucket", "row", "doc_id", "size", "source_size", "target"]
+    return found.groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+
+
+def planned(docs: DataFrame, block: int, seed: int, text: str, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, and the pieces of all documents."""
     sized = saved(docs.select("doc_id", "source", n_words(F.col(f"`{text}`")).alias("size")), "sizes")
     sources = saved(
         targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), weights), "sources"
     )
-    done = mixed(offsets(sized, sources), slots(sources, block, seed), block)
-    return done.select("doc_id", "size", "source_size", "target", "taken")
+    return sources, pieces(offsets(sized, sources), slots(sources, block, seed), block)
+
+
+def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """The mix as rows of docs: a document whole for every whole pass over its source, and a row for each run of its
+    words that the last pass takes, cut at word boundaries with the blanks kept; n_chars follows the text.
+
+    A doc_id that several rows have, null too, is one document: the least of those rows is mixed.
+    """
+    docs = one_row_each(docs)
+    sources, found = planned(docs, block, seed, text, weights)
+    passes = sources.select(
+        "rank", F.when(F.col("size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("size"))).otherwise(0).cast("int").alias("passes")
+    )
+    start = F.col("index") * block - F.col("offset")
+    until = F.when(F.col("times") > F.col("passes"), F.col("high")).otherwise(F.least("high", "head"))
+    run = F.struct((start + F.col("low")).cast("int").alias("a"), (start + until).cast("int").alias("b"))
+    takes = found.join(passes, "rank").groupBy("rank", "doc_id", "passes").agg(
+        F.sort_array(F.collect_list(F.when(until > F.col("low"), run))).alias("runs")
+    )
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def join_run(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), r["b"].alias("b"))))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["b"] == r["a"]), longer).otherwise(F.concat(done, F.array(r)))
+
+    every = F.array_repeat(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b")), F.col("passes"))
+    takes = takes.select(
+        F.col("doc_id").alias("mixed id"), F.explode(F.concat(every, F.aggregate("runs", none, join_run))).alias("mixed run")
+    )
+    met = docs.join(takes, docs["doc_id"].eqNullSafe(takes["mixed id"]))
+    r, t = F.col("mixed run"), F.col(f"`{text}`")
+    parts = F.slice(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0)))
+    out = met.withColumn(text, F.when(r["b"] < 0, t).otherwise(F.array_join(parts, "")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken. docs needs doc_id, source and the text."""
+    _, found = planned(docs, block, seed, text, weights)
+    return mixed(found).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,16 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     )
 
 
+def kept_only(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with the columns of docs.
+
+    A filter on the verdict alone would be pushed below the projections, with all their expressions put into it and
+    evaluated again for each use; next to a column that isn't deterministic it stays above them.
+    """
+    q = judged(docs, rules, text, "quality of").withColumn("quality row", F.monotonically_increasing_id())
+    return q.filter(F.col("quality of")["kept"] & (F.col("quality row") >= 0)).drop("quality of", "quality row")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
