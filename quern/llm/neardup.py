@@ -21,7 +21,7 @@ share a component; rows without doc_id take no part, have no component and are k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,8 +161,10 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.filter(sizes).select("a", "b", "a_bits", "b_bits").mapInArrow(keep, "a long, b long").distinct()
 
 
-def cross_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, and are likely; shared: (key, node, component).
+def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """Pairs that share a bucket, lie in different components, and are near by their bits; shared: (key, node, component).
+
+    nodes: (node, n_shingles, bits); sizes must be within the percentage of each other.
 
     A bucket's members are dealt into blocks, and every two blocks meet in a task of their own.
     """
@@ -174,7 +176,6 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
     rows = rows.join(nodes.select("node", "n_shingles", "bits"), "node")
-    least = floor_of(percent)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(group: list) -> pa.RecordBatch:
@@ -185,10 +186,10 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 ok = (comp[k + 1 :] != comp[k]) & (np.maximum(size[k + 1 :], size[k]) * percent <= 100 * np.minimum(size[k + 1 :], size[k]))
                 if block.min() != block.max():  # pairs within a block belong to the task of that block alone
                     ok &= block[k + 1 :] != block[k]
-                near = np.flatnonzero(ok) + k + 1
-                near = near[estimated(bits[near], bits[k]) >= least]
-                a += [np.minimum(node[near], node[k])]
-                b += [np.maximum(node[near], node[k])]
+                met = np.flatnonzero(ok) + k + 1
+                met = met[near(bits[met], bits[k])]
+                a += [np.minimum(node[met], node[k])]
+                b += [np.maximum(node[met], node[k])]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
         at, group = None, []
@@ -229,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
 
     first = components(links)
     placed = met.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    rest = saved(cross_pairs(placed, nodes, percent), "cross-pairs")
+    least = floor_of(percent)
+    rest = saved(cross_pairs(placed, nodes, lambda x, y: estimated(x, y) >= least, percent), "cross-pairs")
     tried = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(confirmed(rest.join(tried, ["a", "b"], "left_anti"), nodes, percent), "more-links")
     if not more.isEmpty():

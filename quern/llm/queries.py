@@ -12,6 +12,7 @@ PLACES = {
     "op2_quality_rules": "quality",
     "op3_license_scan": "licenses",
     "op4_chat_formatting": "chat",
+    "op5_line_dedup": "lines",
     "op6_near_duplicates": "neardup",
     "op7_toxicity": "toxicity",
     "op8_decontamination": "decontamination",
