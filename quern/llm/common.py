@@ -55,6 +55,13 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     return saved(docs.join(repeated, same, "left_anti").unionByName(least), "distinct")
 
 
+def tasks_for(df: DataFrame, each: int) -> int:
+    """Number of tasks for so many bytes of df each, by the planner's estimate of files; at least a shuffle's usual number."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return usual if size >= 1 << 60 else min(max(usual, size // each), 1 << 20)  # that large: not known
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once; a lambda variable isn't recomputed where the optimizer merges projections."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module that has it.
 PLACES = {
+    "op1_substring_dedup": "substrings",
     "op2_quality_rules": "quality",
     "op3_license_scan": "licenses",
     "op4_chat_formatting": "chat",

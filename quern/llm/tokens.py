@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import fresh, saved, table
+from quern.llm.common import fresh, saved, table, tasks_for
 
 LENGTH = 2048
 BATCH = 64
@@ -171,9 +171,7 @@ class Shard:
 
 def written(docs: DataFrame, tokenizer: str, place: str, length: int = LENGTH, text: str = "text") -> DataFrame:
     """Writes the shards under `place`; returns a row for each: part (ascending with doc_id), uri, n_docs, n_tokens."""
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES), 1 << 20)
+    n = tasks_for(docs, SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     fs, path = pafs.FileSystem.from_uri(place)
