@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_wins(ref: DataFrame, key: str, values: Sequence[str], order: str) -> DataFrame:
@@ -60,7 +61,7 @@ def group_mean_fill(df: DataFrame, fit_on: DataFrame, group: str, values: Sequen
     return met.withColumns({v: F.coalesce(v, f"mean {v}") for v in values}).select(*df.columns)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(candidate: pd.Series, target: pd.Series) -> pd.Series:
     """The matching ratio of difflib, which isn't symmetric."""
     return pd.Series([SequenceMatcher(None, t, c).ratio() for c, t in zip(candidate, target)])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import haversine, planar
+from quern.sources.files import settled
 
 #: Rows of a side that may go to every task.
 SMALL = 5_000
@@ -58,9 +59,9 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, rounds: int = 40,
         return _against_all(left, right)
     found, rest = None, left
     for _ in range(rounds):
-        some = _least(within(rest, right, radius).select("id", "key", "d2")).persist()
+        some = settled(_least(within(rest, right, radius).select("id", "key", "d2")))
         found = some if found is None else found.unionByName(some)
-        rest = rest.join(some.select("id"), "id", "left_anti").persist()
+        rest = settled(rest.join(some.select("id"), "id", "left_anti"))
         if rest.isEmpty():
             break
         radius *= 2
