@@ -184,7 +184,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         entries = words.select("row", "toxic", F.explode(F.array_compact(forms)).alias("entry")).distinct()
         counts = entries.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
         # enough documents to tell, and at most one clean document in six
-        telling = counts.filter((F.col("t") >= max(3, toxic // 100)) & (F.col("c") * 6 <= F.col("t")))
+        telling = counts.filter((F.col("t") >= max(5, toxic // 100)) & (F.col("c") * 6 <= F.col("t")))
         model.lexicon = lexicon_of([tuple(r) for r in telling.collect()], toxic, clean)
         shared = spark.sparkContext.broadcast(model.lexicon)
 
