@@ -14,13 +14,13 @@ that are unique in one don't take part in the next:
 2. Up to 168 bytes: a run's own bytes, named by pairs of 64-byte names that cover them. Spark sorts (32-byte name, run
    name, position). A run equal to an earlier one goes whole. A run that is alone with its 32-byte name is unique and
    ends here. The others go on: some of their strings may be repeated.
-3. 100 bytes: the strings of those runs by the pair of 64-byte names at offsets 0 and 36. Spark sorts the pairs, and
+3. 100 bytes: the other strings by the pair of 64-byte names at offsets 0 and 36. Spark sorts the pairs, and
    all but the first position of equal pairs go.
 
 In rounds 2 and 3 a task sends at most one position of equal ranks on for each few megabytes of text it reads, the
 first; of the others it already knows that they go. So a passage that a third of all documents share makes no large
 group. A 32-byte name that stands among many different contexts (a sample of documents finds such names) isn't dealt
-by name but by run: its runs all go on to round 3, whatever the sample says results are the same.
+by name but by run: all strings of its runs go on to round 3, whatever the sample says results are the same.
 
 Defined cases: texts are their UTF-8 bytes, null ones empty; a doc_id that several rows have, null too, is one
 document, of which the least row counts; a null doc_id comes before all others; documents under the threshold lose
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import one_row_each, saved, table, tasks_for
+from quern.llm.common import let_go, one_row_each, saved, table, tasks_for
 from quern.llm.shingles import mix
 
 THRESHOLD = 100
@@ -49,6 +49,8 @@ SEGMENT, CHUNK = 1 << 21, 8 << 20
 PLACE_BITS = 22
 #: A run's place and its number of strings in one integer.
 RUN = 128
+#: Bytes beside a 32-byte name that one side or the other of a string has at least, and bits kept of that side's name.
+SIDE, SIDE_BITS = 34, 9
 #: Share of documents that is asked for common 32-byte names, and how often a name is common there.
 ASKED, COMMON = 64, 64
 _draw = np.random.default_rng(1)
@@ -69,8 +71,15 @@ def names_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, doubled(names, GRAM, 5) if len(names) > GRAM else names[:0]
 
 
-def runs_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one representative: its 32-byte name, the run's own name, its start, and its number of strings."""
+def side_name(short: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """A few bits, never all 0, of the pair of 32-byte names at `at` and SIDE bytes on; 0 where it isn't there."""
+    at = np.where(there, at, 0)
+    name = mix(short[at] * _TIMES[7] + short[at + SIDE]) >> np.uint64(64 - SIDE_BITS)
+    return np.where(there, np.maximum(name, np.uint64(1)), np.uint64(0)).astype(np.int64)
+
+
+def runs_of(text: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings with one representative: its 32-byte name, the run's own name, and the run packed (see `unpacked`)."""
     n = len(text) - THRESHOLD + 1
     short, long = names_of(text)
     places = np.arange(len(short), dtype=np.uint64)
@@ -87,7 +96,26 @@ def runs_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     name = mix(((at[start] - start) * 256 + count).astype(np.uint64))
     for place in (start, start + 36, start + size - 64, start + size - 100):
         name = mix(name * _TIMES[6] + long[place])
-    return short[at[start]], name, start, count
+    offset = at[start] - start
+    left = side_name(short, at[start] - SIDE, offset >= SIDE)
+    right = side_name(short, at[start], offset - count + 1 < SIDE)
+    return short[at[start]], name, (((first + start) * RUN + offset) * RUN + count << 2 * SIDE_BITS) | left << SIDE_BITS | right
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, offset of the representative, number of strings, and the side names, of packed runs."""
+    bits = (1 << SIDE_BITS) - 1
+    whole = packed >> 2 * SIDE_BITS
+    return whole // RUN // RUN, whole // RUN % RUN, whole % RUN, packed >> SIDE_BITS & bits, packed & bits
+
+
+def repeated_with(x: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row has the same x and the same side name."""
+    order = np.lexsort((side, x))
+    new = firsts(x[order], side[order])
+    alone = np.empty(len(x), bool)
+    alone[order] = new & np.append(new[1:], True)[: len(x)]
+    return ~alone & (side > 0)
 
 
 def segments(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,7 +157,7 @@ SENT = "x long, y long, doc long, place long"
 
 
 def run_rows(bodies: DataFrame) -> DataFrame:
-    """Round 2's rows: 32-byte name, run name, document, and place * RUN + number of strings."""
+    """Round 2's rows: 32-byte name, run name, document, and the packed run as place."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -138,8 +166,8 @@ def run_rows(bodies: DataFrame) -> DataFrame:
                 doc, body = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 held += len(body)
                 for first, text in segments(body):
-                    gram, name, start, count = runs_of(text)
-                    parts.append((gram.view(np.int64), name.view(np.int64), np.full(len(gram), doc, np.int64), (first + start) * RUN + count))
+                    gram, name, run = runs_of(text, first)
+                    parts.append((gram.view(np.int64), name.view(np.int64), np.full(len(gram), doc, np.int64), run))
                 if held > CHUNK and parts:
                     yield _compared(parts)
                     parts, held = [], 0
@@ -193,23 +221,28 @@ def ranked(rows: DataFrame, tasks: int, common: set[int] | None, name: str) -> D
             return
         x, y, doc, place = (np.concatenate(c) for c in zip(*parts))
         gone = place < 0
-        out = [(doc[gone], -place[gone] - 1)]
+        plain = (lambda p: p) if common is None else (lambda p: unpacked(p)[0] * RUN + unpacked(p)[2])
+        out = [(doc[gone], plain(-place[gone] - 1))]
         x, y, doc, place = (c[~gone] for c in (x, y, doc, place))
         order = np.lexsort((place, doc, y, x))
         x, y, doc, place = (c[order] for c in (x, y, doc, place))
         first = firsts(x, y)
-        out.append((doc[~first], place[~first]))
+        out.append((doc[~first], plain(place[~first])))
         if common is not None:
-            x, doc, place = x[first], doc[first], place[first]
-            new = firsts(x)
-            alone = new & np.append(new[1:], True) & ~np.isin(x, known)
-            out.append((doc[~alone], -place[~alone] - 1))
+            x, doc = x[first], doc[first]
+            start, offset, count, left, right = unpacked(place[first])
+            every = np.isin(x, known)
+            # strings that start SIDE bytes or more before the representative have the left side, the others the right one
+            n_left = np.clip(offset - SIDE + 1, 0, count)
+            for side, s, n in ((left, start, n_left), (right, start + n_left, count - n_left)):
+                go_on = (repeated_with(x, side) | every) & (n > 0)
+                out.append((doc[go_on], -(s[go_on] * RUN + n[go_on]) - 1))
         doc, place = (np.concatenate(c) for c in zip(*out))
         for k in range(0, len(doc), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in (doc, place)], ["doc", "place"])
 
     found = saved(rows.repartition(tasks, *by).mapInArrow(sort, "doc long, place long"), name)
-    rows.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle that nothing reads any more
+    let_go(rows.sparkSession)
     return found
 
 
