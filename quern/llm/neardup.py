@@ -1,19 +1,21 @@
 """MinHash near-dedup with b-bit signatures, links confirmed on full sets, and connected components.
 
 1. Each text becomes its set of word shingles, a fingerprint of that set, band keys of its minima, and a b-bit
-   signature: the low bits of the minima, packed. Texts with equal sets form a class; one node stands for it from here.
-2. In each band bucket every node meets one centre, drawn by a hash of bucket and node, so that different buckets of
-   one group have different centres. A bucket's centre is a minimum, which combines before the shuffle.
+   signature: the low bits of the minima, packed. Texts with equal sets are one node, named by the fingerprint's 64 bits.
+2. In each band bucket every node meets the first one, its centre.
 3. A pair's similarity is estimated by counting equal low bits and correcting for those that are equal by chance; pairs
-   whose estimate is six standard deviations below the threshold, or whose sizes exclude it, go. The others are
+   whose estimate is four and a half standard deviations below the threshold, or whose sizes exclude it, go. The others are
    confirmed: the centre's and the members' texts meet, and their full sets are compared.
 4. Confirmed links give components. What could still join two of them are pairs that share a bucket and lie in
-   different components: only buckets that hold several components are looked at once more, in blocks of bounded size,
-   all their cross pairs by signature, and the survivors are confirmed the same way.
+   different components. Buckets that hold several components are looked at again, in blocks of bounded size: first all
+   their nodes meet the one that agrees most with the block's prevailing signature, which in a group of near copies is
+   the text they were made from; that is done ROUNDS times, with other blocks. Then all cross pairs that are left.
 
-No step makes all pairs of a group: copies are one node, a large group of near copies mostly becomes one component in
-step 4's eyes before its cross pairs count. Pairs at the threshold share one of the 32 bands of 6 minima with
-probability 1 - 1e-6 or more, above it sooner; everything after that is exact.
+No step makes all pairs of a group: copies are one node, and near copies mostly are one component before cross pairs
+count. Pairs at the threshold share one of the 32 bands of 6 minima with probability 1 - 1e-6 or more, above it sooner.
+
+The texts stand in a table in buckets of their node, and don't move when pairs ask for them; only texts of pairs that
+are to be confirmed are sent.
 
 Defined cases: texts without words, null ones too, link with nothing; rows with equal doc_id count as one document and
 share a component; rows without doc_id take no part, have no component and are kept; an empty table gives an empty result.
@@ -30,12 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, table
+from quern.llm.common import dropped, let_go, saved, saved_by, table, tasks_for
 from quern.llm.graphs import components
 from quern.llm.shingles import mix, shingles, split
 
 BANDS, ROWS = 32, 6
-MINIMA = BANDS * ROWS
+#: Minima of a signature; the bands take the first of them.
+MINIMA = 2 * BANDS * ROWS
 #: Low bits kept of each minimum.
 BITS = 4
 #: Links at 100 * intersection >= PERCENT * union.
@@ -50,14 +53,17 @@ _ODD = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Nibbles of a byte that aren't 0.
 _NIBBLES = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
 
-SIGNED = "doc_id long, n_shingles long, print binary, keys array<long>, bits binary, body binary"
+#: Rounds in which components of a bucket meet its hub.
+ROUNDS_OF_HUBS = 3
+
+SIGNED = "doc_id long, n_shingles long, node long, keys array<long>, bits binary, body binary"
 
 
 def minima(values: np.ndarray) -> np.ndarray:
     """The minima of a set under all hash functions."""
     low, x = np.full(MINIMA, 2**32 - 1, np.uint32), (values >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(x), 512):
-        low = np.minimum(low, (x[k : k + 512, None] * _TIMES + _PLUS).min(axis=0))
+    for k in range(0, len(x), 256):
+        low = np.minimum(low, (x[k : k + 256, None] * _TIMES + _PLUS).min(axis=0))
     return low
 
 
@@ -75,10 +81,10 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def floor_of(percent: int) -> float:
-    """Six standard deviations below the threshold."""
+    """Four and a half standard deviations below the threshold."""
     s, chance = percent / 100, 2.0**-BITS
     equal = s + (1 - s) * chance
-    return s - 6 * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
+    return s - 4.5 * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -87,25 +93,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, print (of the set), band keys, b-bit signature, and the text compressed."""
+    """Per row: doc_id, n_shingles, node (of the set), band keys, b-bit signature, and the text compressed.
+
+    Of copies that a task reads in a row only the first has the last three: a large group of copies stays light.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         seeds = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                some, rows = batch.slice(k, 512), []
+                some, rows, seen = batch.slice(k, 512), [], set()
                 for doc_id, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     s = shingles(split(body or b""))
-                    if len(s):
+                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+                    if node in seen:
+                        rows.append((doc_id, len(s), node, None, None, None))
+                    elif node is not None:
+                        seen.add(node)
                         low = minima(s)
-                        keys = mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _ODD).sum(axis=1) ^ seeds)
-                        rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64), packed(low), pack.compress(body)))
+                        keys = mix((low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _ODD).sum(axis=1) ^ seeds)
+                        rows.append((doc_id, len(s), node, keys.view(np.int64), packed(low), pack.compress(body)))
                     else:
                         rows.append((doc_id, 0, None, None, None, None))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_shingles", "print", "keys", "bits", "body"]
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_shingles", "node", "keys", "bits", "body"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
@@ -161,33 +174,50 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.filter(sizes).select("a", "b", "a_bits", "b_bits").mapInArrow(keep, "a long, b long").distinct()
 
 
-def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int) -> DataFrame:
+def hub_of(bits: np.ndarray) -> int:
+    """The row that has the most frequent value in the most places of four bits."""
+    parts = np.concatenate([bits & 15, bits >> 4], axis=1)
+    counts = np.stack([(parts == v).sum(axis=0) for v in range(16)])
+    return int((parts == counts.argmax(axis=0)).sum(axis=1).argmax())
+
+
+def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int, turn: int | None = None) -> DataFrame:
     """Pairs that share a bucket, lie in different components, and are near by their bits; shared: (key, node, component).
 
     nodes: (node, n_shingles, bits); sizes must be within the percentage of each other.
 
-    A bucket's members are dealt into blocks, and every two blocks meet in a task of their own.
+    A bucket's members are dealt into blocks, and every two blocks meet in a task of their own. With a turn, each block
+    stays by itself, and its members meet its hub alone; another turn deals them into other blocks. Without one, a pair
+    that shares several buckets is made in the first of them, if nodes have all their keys.
     """
     counted = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = counted.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = shared.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = shared.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn or 0)), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1) if turn is None else F.array("block")
+    other = F.explode(others).alias("other")
     rows = rows.select("key", "node", "component", "block", other).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
-    rows = rows.join(nodes.select("node", "n_shingles", "bits"), "node")
+    own = F.col("keys") if turn is None and "keys" in nodes.columns else F.lit(None).cast("array<bigint>")
+    rows = rows.join(nodes.select("node", "n_shingles", "bits", own.alias("keys")), "node")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(group: list) -> pa.RecordBatch:
+        def of(key: int, group: list) -> pa.RecordBatch:
             node, comp, block, size = (np.array([g[i] for g in group], np.int64) for i in range(4))
             bits = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
+            keys = np.array([g[5] for g in group]) if group[0][5] is not None else None
             a, b = [], []
-            for k in range(len(group)):
+            for k in range(len(group)) if turn is None else [hub_of(bits)]:
+                if turn is not None:  # the hub meets those before it too
+                    order = np.r_[k, 0:k, k + 1 : len(group)]
+                    node, comp, block, size, bits, k = node[order], comp[order], block[order], size[order], bits[order], 0
                 ok = (comp[k + 1 :] != comp[k]) & (np.maximum(size[k + 1 :], size[k]) * percent <= 100 * np.minimum(size[k + 1 :], size[k]))
                 if block.min() != block.max():  # pairs within a block belong to the task of that block alone
                     ok &= block[k + 1 :] != block[k]
                 met = np.flatnonzero(ok) + k + 1
                 met = met[near(bits[met], bits[k])]
+                if keys is not None and len(met):
+                    met = met[keys[k][(keys[met] == keys[k]).argmax(axis=1)] == key]
                 a += [np.minimum(node[met], node[k])]
                 b += [np.maximum(node[met], node[k])]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
@@ -197,49 +227,80 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != at:
                     if len(group) > 1:
-                        yield of(group)
+                        yield of(at[0], group)
                     at, group = (key, i, j), []
                 group.append(row)
         if len(group) > 1:
-            yield of(group)
+            yield of(at[0], group)
 
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "i", "j", "node", "component", "block", "n_shingles", "bits").repartition(tasks, "key", "i", "j")
+    dealt = rows.select("key", "i", "j", "node", "component", "block", "n_shingles", "bits", "keys").repartition(tasks, "key", "i", "j")
     return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
 
 
+def bucket_members(rows: DataFrame) -> DataFrame:
+    """(key, node, centre) for the rows (key, node) of all buckets with two nodes or more; the centre is the first node."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held_first = None, None
+        for batch in batches:
+            key, node = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            opens = np.concatenate([[held_key is None or key[0] != held_key], key[1:] != key[:-1]])
+            group, starts = np.cumsum(opens) - 1, node[opens]
+            first = starts[group] if opens[0] else np.concatenate([[held_first], starts])[group + 1]
+            held_key, held_first = key[-1], first[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~opens]) for x in (key, node, first)], ["key", "node", "centre"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
+    met = saved(dealt.mapInArrow(meet, "key long, node long, centre long"), "bucket-members")
+    let_go(rows.sparkSession)
+    # the centres belong to their buckets too
+    return met.unionByName(met.select("key", F.col("centre").alias("node"), "centre").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
-    rows = saved(signed(docs, text), "signed")
-    named = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("print").agg(F.min("doc_id").alias("node"))
-    classes = saved(classes, "classes")
-    own = named.join(classes, "print").filter("doc_id = node")
-    nodes = saved(own.select("node", "n_shingles", "keys", "bits", "body").dropDuplicates(["node", "bits", "n_shingles"]), "nodes")
-
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    drawn = F.xxhash64("key", "node")
-    centres = buckets.groupBy("key").agg(F.min_by("node", drawn).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    met = saved(buckets.join(centres.select("key", "centre"), "key").select("key", "node", "centre"), "buckets")
-    stars = met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    maybe = saved(likely(stars, nodes, percent), "likely")
-    # the rows of one document are linked: one doc_id may stand for several sets
-    same = named.join(classes, "print").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    alike = same.join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    links = saved(confirmed(maybe, nodes, percent).unionByName(alike), "links")
-
-    first = components(links)
-    placed = met.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    everything = saved(signed(docs, text), "signed")
+    rows = saved(everything.select("doc_id", "n_shingles", "node"), "rows")
+    tasks = tasks_for(docs, 16 << 20)
+    nodes = saved_by(
+        everything.filter("doc_id is not null and body is not null")
+        .select("node", "n_shingles", "keys", "bits", "body")
+        .repartition(tasks, "node").dropDuplicates(["node"]),
+        "node", tasks, "nodes",
+    )
+    dropped(everything)
     least = floor_of(percent)
-    rest = saved(cross_pairs(placed, nodes, lambda x, y: estimated(x, y) >= least, percent), "cross-pairs")
-    tried = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(confirmed(rest.join(tried, ["a", "b"], "left_anti"), nodes, percent), "more-links")
-    if not more.isEmpty():
-        first = components(links.unionByName(more))
 
-    by_print = classes.join(first, "node", "left").select("print", F.coalesce("component", "node").alias("reached"))
+    met = saved(bucket_members(nodes.select(F.explode("keys").alias("key"), "node")), "buckets")
+    tried = met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tried = saved(likely(tried, nodes, percent), "likely")
+    # one doc_id may stand for several sets: they are linked
+    of = rows.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    several = of.filter("a <> b").select("doc_id", "a")
+    alike = rows.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    links = saved(confirmed(tried, nodes, percent).unionByName(alike), "links")
+    found = components(links)
+    for turn in [*range(1, ROUNDS_OF_HUBS + 1), None]:
+        placed = met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        pairs = cross_pairs(placed, nodes, lambda x, y: estimated(x, y) >= least, percent, turn)
+        pairs = saved(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        more = saved(confirmed(pairs, nodes, percent), "more-links")
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = saved(links.unionByName(more), "links")
+            found = components(links)
+
+    named = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    reached = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reached = saved(reached, "reached")
+    ids = reached.groupBy("component").agg(F.min("least").alias("reached"))
+    by_node = reached.join(ids, "component").select("node", "reached")
     own_id = F.col("doc_id")
-    return rows.select("doc_id", "n_shingles", "print").join(by_print, "print", "left").select(
+    return rows.join(by_node, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(own_id.isNotNull(), F.coalesce("reached", own_id)).alias("component_id"),
         F.coalesce(F.coalesce("reached", own_id) == own_id, F.lit(True)).alias("kept"),

@@ -87,7 +87,7 @@ def test_estimates_come_near():
 
 
 def test_hub_and_cross_pairs_find_what_stars_miss(spark):
-    bits = [bytes([v]) * 96 for v in (0, 0, 0)]
+    bits = [bytes([v]) * (neardup.MINIMA // 2) for v in (0, 0, 0)]
     nodes = spark.createDataFrame([(i, 10, bytearray(b)) for i, b in enumerate(bits)], "node long, n_shingles long, bits binary")
     shared = spark.createDataFrame([(7, i, i) for i in range(3)], "key long, node long, component long")
     near = lambda x, y: neardup.estimated(x, y) >= 0.7
