@@ -138,6 +138,40 @@ def test_lines(spark, docs, empty):
     assert lines.repeated_lines(empty).count() == 0
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """Brute force over all pairs, short and long lines, edits of words and of characters; no candidates are assumed."""
+    r = random.Random(11)
+    said = []
+    for n in (4, 5, 6, 8, 10, 12, 20, 40):
+        for k in range(6):
+            w = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n)]
+            said += [" ".join(w), " ".join("replaced" if i == k % n else x for i, x in enumerate(w))]
+            c = list(" ".join(w))
+            for i in r.sample(range(len(c)), len(c) // 8):
+                c[i] = "z" if c[i] != " " else c[i]
+            said.append("".join(c))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, e in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    groups, want = Groups(), set()
+    for i, a in enumerate(said):
+        groups.find(i)
+        for j, b in enumerate(said[:i]):
+            longer = max(len(a), len(b))
+            if 5 * abs(len(a) - len(b)) <= longer and 5 * distance(a, b) < longer:
+                groups.link(j, i)
+    want = {i for i in range(len(said)) if groups.find(i) != i}
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert {x["doc_id"] for x in lines.repeated_lines(df).collect()} == want and len(want) > 60
+
+
 def test_keys_meet_within_flips():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 200, np.int64)
