@@ -172,6 +172,12 @@ def test_lines_by_edit_similarity_alone(spark):
     assert {x["doc_id"] for x in lines.repeated_lines(df).collect()} == want and len(want) > 60
 
 
+def test_lines_of_one_or_two_words(spark):
+    said = ["Menu", "menu!", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u3002", "read more", "Read  more", "reed more", "--", "--", "", "x", "y"]
+    df = spark.createDataFrame([(7, "\n".join(said))], "doc_id long, text string")
+    assert {r["line"] for r in lines.repeated_lines(df).collect()} == {1, 3, 5, 6}
+
+
 def test_keys_meet_within_flips():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 200, np.int64)
