@@ -86,6 +86,27 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     return saved(docs.join(repeated, same, "left_anti").unionByName(least), "distinct")
 
 
+def with_own_ids(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column: doc_id where one row alone has it, else (several rows, or null) a hash of the row, 2^62 or more,
+    so that it comes after usual ids. Rows that are equal in all columns share it."""
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = saved(repeated.select(F.col("doc_id").alias("repeated id")), "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*columns, *[c.isNull() for c in columns]).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+    own = F.when(F.col("doc_id").isNull(), hashed)
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.coalesce(own, F.col("doc_id").cast("long")))
+    met = docs.join(repeated, docs["doc_id"] == repeated["repeated id"], "left")
+    own = F.coalesce(own, F.when(F.col("repeated id").isNotNull(), hashed), F.col("doc_id").cast("long"))
+    return met.withColumn(name, own).drop("repeated id")
+
+
+def one_of_equals(docs: DataFrame, name: str) -> DataFrame:
+    """docs with one row alone of those that share a hash as their own id (see `with_own_ids`)."""
+    hashed = F.col("doc_id").isNull() | (F.col("doc_id") != F.col(name))
+    return docs.filter(~hashed).unionByName(docs.filter(hashed).dropDuplicates([name]))
+
+
 def tasks_for(df: DataFrame, each: int) -> int:
     """Number of tasks for so many bytes of df each, by the planner's estimate of files; at least a shuffle's usual number."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

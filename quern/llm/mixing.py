@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, one_row_each, saved, table
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, one_of_equals, saved, with_own_ids, table
 
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -176,10 +176,11 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
     """The mix as rows of docs: a document whole for every whole pass over its source, and a row for each run of its
     words that the last pass takes, cut at word boundaries with the blanks kept; n_chars follows the text.
 
-    A doc_id that several rows have, null too, is one document: the least of those rows is mixed.
+    Rows without doc_id, or with one that several rows have, are documents of their own; equal rows are one.
     """
-    docs = one_row_each(docs)
-    sources, found = planned(docs, block, seed, text, weights)
+    names = docs.columns
+    docs = saved(one_of_equals(with_own_ids(docs, "own id"), "own id"), "named")
+    sources, found = planned(docs.select(F.col("own id").alias("doc_id"), "source", F.col(f"`{text}`")), block, seed, text, weights)
     passes = sources.select(
         "rank", F.when(F.col("size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("size"))).otherwise(0).cast("int").alias("passes")
     )
@@ -200,13 +201,13 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
     takes = takes.select(
         F.col("doc_id").alias("mixed id"), F.explode(F.concat(every, F.aggregate("runs", none, join_run))).alias("mixed run")
     )
-    met = docs.join(takes, docs["doc_id"].eqNullSafe(takes["mixed id"]))
+    met = docs.join(takes, docs["own id"] == takes["mixed id"])
     r, t = F.col("mixed run"), F.col(f"`{text}`")
     parts = F.slice(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0)))
     out = met.withColumn(text, F.when(r["b"] < 0, t).otherwise(F.array_join(parts, "")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from quern.llm import common, decontamination, neardup, quality
 from quern.llm.queries import oracle_sql, queries
+from tests.llm.conftest import prose
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,6 +29,18 @@ def test_stages(spark):
     assert set(ids["mixing"]) <= set(ids["decontamination"]) and ids["token_output"] == ids["mixing"]
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and reused ids: clean and different texts pass near-dedup and mixing, near copies go."""
+    one, two, three, four = (prose(i, 80) for i in range(20, 24))
+    rows = [(None, one), (None, two), (5, three), (5, four), (6, one), (5, three)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, df, DATA)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(6, one), (0, two), (5, three), (5, four)])
+    mixed = {r["text"] for r in corpus_pipeline.mix_sources(spark, kept, DATA).collect()}
+    assert all(any(t and t in whole for t in mixed) for whole in (one, two, three, four))
+
+
 def test_registered():
     names = queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
