@@ -95,7 +95,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, node (of the set), band keys, b-bit signature, and the text compressed.
 
-    Of copies that a task reads in a row only the first has the last three: a large group of copies stays light.
+    Of copies that a task reads in a row only the first with a doc_id has the last three: a large group of copies stays
+    light. Rows without doc_id never have them.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                 for doc_id, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     s = shingles(split(body or b""))
                     node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
-                    if node in seen:
+                    if node is not None and (node in seen or doc_id is None):
                         rows.append((doc_id, len(s), node, None, None, None))
                     elif node is not None:
                         seen.add(node)

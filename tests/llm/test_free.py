@@ -76,6 +76,15 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_first_copy_without_doc_id(spark):
+    """A set whose first copy has no doc_id is a node all the same, and keeps its links to near copies."""
+    w = prose(31, 120).split()
+    rows = [(None, " ".join(w)), (2, " ".join(w)), (1, " ".join([*w[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
+    assert found == {None: (None, True), 1: (1, True), 2: (1, False)}
+
+
 def test_estimates_come_near():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.9):
