@@ -187,6 +187,13 @@ def test_lines_of_one_or_two_words(spark):
     assert {r["line"] for r in lines.repeated_lines(df).collect()} == {1, 3, 5, 6}
 
 
+def test_lines_exactly_at_the_threshold(spark):
+    said = {2 * n: "a" * n for n in range(5, 101, 5)} | {2 * n + 1: "a" * (n * 4 // 5) + "b" * (n // 5) for n in range(5, 101, 5)}
+    nodes = spark.createDataFrame(list(said.items()), "node long, said string")
+    pairs = spark.createDataFrame([(2 * n, 2 * n + 1) for n in range(5, 101, 5)], "a long, b long")
+    assert lines.verified(pairs, nodes, 0.8).count() == 20
+
+
 def test_keys_meet_within_flips():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 200, np.int64)
