@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import dropped, let_go, saved, saved_by, table, tasks_for
 from quern.llm.graphs import components
-from quern.llm.shingles import mix, shingles, split
+from quern.llm.shingles import forget, mix, shingles, split
 
 BANDS, ROWS = 32, 6
 #: Minima of a signature; the bands take the first of them.
@@ -121,6 +121,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_shingles", "node", "keys", "bits", "body"]
                 )
+        forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
     return rows.mapInArrow(sign, SIGNED)
@@ -152,6 +153,7 @@ def confirmed(edges: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 elif any(linked(x, s, percent) for x in sets):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        forget()
 
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # nulls come first: a centre before its members

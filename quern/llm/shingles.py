@@ -6,9 +6,10 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-#: Bound of a worker's cache of word hashes, in words.
-CACHE_WORDS = 1 << 20
+#: A worker keeps the hashes of words it met among the last CACHE_WORDS to twice as many different ones.
+CACHE_WORDS = 1 << 16
 _words: dict[bytes, int] = {}
+_former: dict[bytes, int] = {}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,11 +21,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    global _words, _former
     if len(_words) > CACHE_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        _words, _former = {}, _words
+    known, former = _words, _former
+    for w in set(words).difference(known):
+        known[w] = former[w] if w in former else xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def forget() -> None:
+    """Empties the cache, which otherwise stays with a worker that Spark uses again for other work."""
+    global _words, _former
+    _words, _former = {}, {}
 
 
 def split(text: bytes) -> list[bytes]:

@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of doc_id, one shard file a range, sorted within it. A shard holds one stream of ids, all
 its documents' one after another, cut into sequences of equal length: column `ids` is a fixed-size list of unsigned
-16-bit integers (32-bit where the vocabulary needs it), column `mask` a fixed-size list of booleans, false on the
-filling at the end. Record batches hold equally many sequences, so that sequence i lies in batch i // BATCH at row
+16-bit integers (32-bit where the vocabulary needs it), column `mask` a fixed-size list of bytes, 1 on ids and 0 on the
+filling at the end: both are read without a copy. Record batches hold equally many sequences, so that sequence i lies in batch i // BATCH at row
 i % BATCH, and a memory-mapped file gives it as an array without a copy (`Shard.sequence`). Next to each shard lies a
 file of the same format with (doc_id, start, n_tokens) of its documents, in order.
 
@@ -11,15 +11,18 @@ Tasks write under a name of their own attempt and rename it at the end: a task t
 too, leaves the same file. Files go to the shared scratch folder through Arrow's file systems, never to a local one.
 
 Encoding is Python, in Arrow batches. Texts are taken apart at ASCII blanks, which this tokenizer drops and over which
-none of its tokens reaches; each distinct piece is encoded once and kept in a cache of bounded size.
+none of its tokens reaches; pieces that a worker doesn't know yet are encoded many at a time, and the frequent ones stay
+in a cache of bounded size.
 
 Defined cases: a null text counts as an empty one, which still has its end id; texts of any length go whole into one
-shard, over as many sequences as they need; rows with equal doc_id stand in the order of their texts; a null doc_id
-sorts first; an empty table gives an empty result and empty shards.
+shard, over as many sequences as they need; rows with equal doc_id, or without one, stand in the order of hashes of their
+texts, and may fill many shards; a null doc_id sorts first; equal rows are each written; other columns are ignored,
+whatever their names; an empty table gives an empty result and empty shards.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -37,8 +40,10 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 1
 SHARD_BYTES = 32 << 20
-#: Bound of a worker's cache of encoded pieces, in bytes of pieces and ids, each counted with 200 more.
-CACHE_BYTES = 160 << 20
+#: A worker keeps the pieces it met among the last CACHED to twice as many different ones, of at most LONGEST characters.
+CACHED, LONGEST = 150_000, 40
+#: Schemes by which Hadoop and Arrow call the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -59,8 +64,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        rules = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.lowers = any(r["type"] == "Lowercase" for r in rules.get("normalizers", [rules] if rules else []))
+        self.recent: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -68,18 +75,49 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
+    def plain(self, text: str) -> str:
+        """A-Z lower-cased where the tokenizer would do so itself: fewer different pieces. Its special tokens have marks."""
+        return text.encode().lower().decode() if self.lowers and "<|" not in text else text
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: many are encoded as one text, and its tokens come apart by their offsets."""
+        out = []
+        for k in range(0, len(words), 256):
+            part = words[k : k + 256]
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            at = np.array([o[0] for o in found.offsets], np.int64)
+            cuts = np.searchsorted(at, starts) * self.dtype.itemsize
+            whole = ids.tobytes()
+            out += [whole[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return out
+
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         end = self.dtype.type(end_id).tobytes()
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
-        new = list(set().union(*pieces).difference(self.cache))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[word] = ids = np.array(found.ids, self.dtype).tobytes()
-                self.held += len(word) + len(ids) + 200
-        return [b"".join(map(self.cache.__getitem__, p)) + end for p in pieces]
+        split = [self.plain(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known, long, new = self.recent, {}, []
+        for w in set().union(*split).difference(known):
+            if (ids := self.former.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        for w, ids in zip(new, self.pieces(new)):
+            known[w] = ids
+            if len(w) > LONGEST:
+                long[w] = ids
+        out = [b"".join(map(known.__getitem__, p)) + end for p in split]
+        for w in long:
+            del known[w]
+        if len(known) > CACHED:
+            self.former, self.recent = known, {}
+        return out
+
+
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a URI of the shared folder, and the path there."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 class ShardWriter:
@@ -87,7 +125,7 @@ class ShardWriter:
         self.fs, self.path, self.length, self.dtype = fs, path, length, dtype
         self.own = f".{os.getpid()}-{os.urandom(4).hex()}"
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sinks = [fs.open_output_stream(path + x + self.own) for x in ("", ".index")]
         self.files = [pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, INDEX))]
         self.waiting: list[np.ndarray] = []
@@ -110,8 +148,8 @@ class ShardWriter:
         for k in range(0, whole, step):
             part = ids[k : min(k + step, whole)]
             fill = -len(part) % self.length
-            mask = np.ones(len(part) + fill, bool)
-            mask[len(part) :] = False
+            mask = np.ones(len(part) + fill, np.uint8)
+            mask[len(part) :] = 0
             part = np.concatenate([part, np.zeros(fill, self.dtype)]) if fill else part
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.files[0].write_batch(pa.record_batch(columns, schema=self.schema))
@@ -130,7 +168,7 @@ class Shard:
     """Reads a shard. With a local path the file is mapped, and sequences are views of it."""
 
     def __init__(self, uri: str) -> None:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = store(uri)
         opened = (lambda p: pa.memory_map(p)) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file
         self.file, self.index = (pa.ipc.open_file(opened(path + x)) for x in ("", ".index"))
         self.length = self.file.schema.field("ids").type.list_size
@@ -139,8 +177,8 @@ class Shard:
         """ids and mask of sequence i."""
         batch, row = self.file.get_batch(i // BATCH), i % BATCH
         part = slice(row * self.length, (row + 1) * self.length)
-        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[part]
-        return ids, batch.column("mask").flatten()[part].to_numpy(zero_copy_only=False)
+        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True)[part] for c in ("ids", "mask"))
+        return ids, mask.view(np.bool_)
 
     def ids(self) -> Iterator[np.ndarray]:
         """The stream of ids, batch by batch, without the filling."""
@@ -149,7 +187,7 @@ class Shard:
             ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
             n = len(ids)
             if k == self.file.num_record_batches - 1:
-                n = int(np.count_nonzero(batch.column("mask").flatten().to_numpy(zero_copy_only=False)))
+                n = int(np.count_nonzero(batch.column("mask").flatten().to_numpy(zero_copy_only=True)))
             yield ids[:n]
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -173,8 +211,10 @@ def written(docs: DataFrame, tokenizer: str, place: str, length: int = LENGTH, t
     """Writes the shards under `place`; returns a row for each: part (ascending with doc_id), uri, n_docs, n_tokens."""
     n = tasks_for(docs, SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    fs, path = pafs.FileSystem.from_uri(place)
+    # the hash deals rows that share a doc_id over several shards
+    rows = rows.withColumn("nth", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, "doc_id", "nth").sortWithinPartitions("doc_id", "nth", "text").select("doc_id", "text")
+    fs, path = store(place)
     fs.create_dir(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +222,11 @@ def written(docs: DataFrame, tokenizer: str, place: str, length: int = LENGTH, t
 
         part = TaskContext.get().partitionId()
         encoder = Encoder.at(tokenizer)
-        fs, path = pafs.FileSystem.from_uri(place)
+        fs, path = store(place)
         shard = ShardWriter(fs, f"{path}/part-{part:07d}.arrow", encoder.dtype, length)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 128):
+                some = batch.slice(k, 128)
                 shard.add(some.column(0), encoder.encode(some.column(1).to_pylist()))
         shard.close()
         uri = f"{place}/part-{part:07d}.arrow"
