@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: Beginning of the names of tables in buckets.
+TABLE = "quern_"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,20 +59,21 @@ def saved_by(df: DataFrame, key: str, tasks: int, name: str) -> DataFrame:
     """Like saved(), as a table in buckets of the key: joins on it move only their other side. df is dealt by the key already."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    named = "quern_" + path.rpartition("-")[2]
+    named = TABLE + path.rpartition("-")[2]
     df.write.option("compression", "zstd").option("path", path).bucketBy(tasks, key).sortBy(key).saveAsTable(named)
     let_go(spark)
     return spark.table(named)
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes a table of saved() that nothing reads any more."""
-    place = scratch(df.sparkSession)
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    """Deletes a table of saved() or saved_by() that nothing reads any more; its rows must not be asked for again."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    inside = jvm.org.apache.hadoop.fs.Path(scratch(spark)).toUri().getPath()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        inside = jvm.org.apache.hadoop.fs.Path(place).toUri().getPath()
         if path.toUri().getPath().startswith(inside + "/"):
+            spark.sql(f"drop table if exists {TABLE}{folder.rpartition('-')[2]}")
             path.getFileSystem(conf).delete(path, True)
 
 

@@ -184,6 +184,15 @@ def hub_of(bits: np.ndarray) -> int:
     return int((parts == counts.argmax(axis=0)).sum(axis=1).argmax())
 
 
+def padded(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of one array, and which of its places they fill."""
+    sizes = np.array([len(x) for x in lists])
+    has = np.arange(sizes.max()) < sizes[:, None]
+    rows = np.zeros(has.shape, np.int64)
+    rows[has] = np.concatenate([np.array(x, np.int64) for x in lists])
+    return rows, has
+
+
 def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int, turn: int | None = None) -> DataFrame:
     """Pairs that share a bucket, lie in different components, and are near by their bits; shared: (key, node, component).
 
@@ -208,7 +217,7 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
         def of(key: int, group: list) -> pa.RecordBatch:
             node, comp, block, size = (np.array([g[i] for g in group], np.int64) for i in range(4))
             bits = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
-            keys = np.array([g[5] for g in group]) if group[0][5] is not None else None
+            keys, has = padded([g[5] for g in group]) if group[0][5] is not None else (None, None)
             a, b = [], []
             for k in range(len(group)) if turn is None else [hub_of(bits)]:
                 if turn is not None:  # the hub meets those before it too
@@ -220,7 +229,8 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
                 met = np.flatnonzero(ok) + k + 1
                 met = met[near(bits[met], bits[k])]
                 if keys is not None and len(met):
-                    met = met[keys[k][(keys[met] == keys[k]).argmax(axis=1)] == key]
+                    shared = (keys[met][:, :, None] == keys[k][has[k]]).any(axis=2) & has[met]
+                    met = met[np.where(shared, keys[met], 2**63 - 1).min(axis=1) == key]
                 a += [np.minimum(node[met], node[k])]
                 b += [np.maximum(node[met], node[k])]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
