@@ -77,37 +77,22 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """docs with the least row alone of every doc_id that several rows have. Without such rows, docs as it is."""
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated id"))
-    repeated = saved(repeated, "repeated")
-    if repeated.isEmpty():
-        return docs
-    same = docs["doc_id"].eqNullSafe(repeated["repeated id"])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = docs.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(row).alias("least")).select("least.*")
-    return saved(docs.join(repeated, same, "left_anti").unionByName(least), "distinct")
-
-
 def with_own_ids(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column: doc_id where one row alone has it, else (several rows, or null) a hash of the row, 2^62 or more,
-    so that it comes after usual ids. Rows that are equal in all columns share it."""
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = saved(repeated.select(F.col("doc_id").alias("repeated id")), "repeated")
+    so that it comes after usual ids. Rows that are equal in all columns are one row first."""
+    counted = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    shared = saved(counted.select(F.col("doc_id").alias("shared id")), "shared-ids")
+    own = F.col("doc_id").cast("long")
+    if shared.isEmpty():
+        return docs.withColumn(name, own)
+    same = docs["doc_id"].eqNullSafe(shared["shared id"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = F.xxhash64(*columns, *[c.isNull() for c in columns]).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
-    own = F.when(F.col("doc_id").isNull(), hashed)
-    if repeated.isEmpty():
-        return docs.withColumn(name, F.coalesce(own, F.col("doc_id").cast("long")))
-    met = docs.join(repeated, docs["doc_id"] == repeated["repeated id"], "left")
-    own = F.coalesce(own, F.when(F.col("repeated id").isNotNull(), hashed), F.col("doc_id").cast("long"))
-    return met.withColumn(name, own).drop("repeated id")
-
-
-def one_of_equals(docs: DataFrame, name: str) -> DataFrame:
-    """docs with one row alone of those that share a hash as their own id (see `with_own_ids`)."""
-    hashed = F.col("doc_id").isNull() | (F.col("doc_id") != F.col(name))
-    return docs.filter(~hashed).unionByName(docs.filter(hashed).dropDuplicates([name]))
+    of_their_own = docs.join(shared, same, "left_anti").withColumn(name, own)
+    rows = docs.join(shared, same, "left_semi").withColumn(name, hashed).dropDuplicates([name])
+    alone = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(name).alias("alone")).filter("n = 1").select("alone")
+    named = rows.join(alone, rows[name] == alone["alone"], "left").withColumn(name, F.when(F.col("alone").isNotNull(), own).otherwise(F.col(name)))
+    return of_their_own.unionByName(named.drop("alone"))
 
 
 def tasks_for(df: DataFrame, each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved
+from quern.llm.common import dropped, saved
 
 
 def flattened(parents: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def flattened(parents: DataFrame) -> DataFrame:
             "node", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")
         )
         step = saved(step, "pointers")
+        dropped(parents)
         parents = step.select("node", "parent")
         if step.filter("moved").isEmpty():
             return parents
@@ -38,13 +39,17 @@ def components(edges: DataFrame) -> DataFrame:
         )
         roots = flattened(parents)
         if found is None:
-            found = roots.select("node", F.col("parent").alias("component"))
+            found = saved(roots.select("node", F.col("parent").alias("component")), "components")
         else:
-            moved = roots.select(F.col("node").alias("component"), "parent")
+            moved, former = roots.select(F.col("node").alias("component"), "parent"), found
             found = found.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        found = saved(found, "components")
+            found = saved(found, "components")
+            dropped(former)
         a, b = (roots.select(F.col("node").alias(x), F.col("parent").alias(f"{x}_root")) for x in "ab")
         left = edges.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        edges = saved(left.filter("a <> b").distinct(), "edges")
+        former, edges = edges, saved(left.filter("a <> b").distinct(), "edges")
+        for done in (former, roots):
+            dropped(done)
         if edges.isEmpty():
+            dropped(edges)
             return found

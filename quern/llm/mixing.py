@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, one_of_equals, saved, with_own_ids, table
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, saved, table, with_own_ids
 
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -179,7 +179,7 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
     Rows without doc_id, or with one that several rows have, are documents of their own; equal rows are one.
     """
     names = docs.columns
-    docs = saved(one_of_equals(with_own_ids(docs, "own id"), "own id"), "named")
+    docs = with_own_ids(docs, "own id")
     sources, found = planned(docs.select(F.col("own id").alias("doc_id"), "source", F.col(f"`{text}`")), block, seed, text, weights)
     passes = sources.select(
         "rank", F.when(F.col("size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("size"))).otherwise(0).cast("int").alias("passes")

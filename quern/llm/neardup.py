@@ -17,8 +17,10 @@ count. Pairs at the threshold share one of the 32 bands of 6 minima with probabi
 The texts stand in a table in buckets of their node, and don't move when pairs ask for them; only texts of pairs that
 are to be confirmed are sent.
 
-Defined cases: texts without words, null ones too, link with nothing; rows with equal doc_id count as one document and
-share a component; rows without doc_id take no part, have no component and are kept; an empty table gives an empty result.
+Defined cases: texts without words, null ones too, link with nothing; texts of any length are compared whole; rows that
+share a doc_id are documents of their own, each with its own links; rows without doc_id can't be named by a component: they
+take no part and are kept; repeated rows are in one component; other columns are left aside, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -268,10 +270,12 @@ def bucket_members(rows: DataFrame) -> DataFrame:
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
-    met = saved(dealt.mapInArrow(meet, "key long, node long, centre long"), "bucket-members")
+    members = saved(dealt.mapInArrow(meet, "key long, node long, centre long"), "bucket-members")
     let_go(rows.sparkSession)
     # the centres belong to their buckets too
-    return met.unionByName(met.select("key", F.col("centre").alias("node"), "centre").distinct())
+    met = saved(members.unionByName(members.select("key", F.col("centre").alias("node"), "centre").distinct()), "buckets")
+    dropped(members)
+    return met
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -288,28 +292,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     dropped(everything)
     least = floor_of(percent)
 
-    met = saved(bucket_members(nodes.select(F.explode("keys").alias("key"), "node")), "buckets")
+    met = bucket_members(nodes.select(F.explode("keys").alias("key"), "node"))
     tried = met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tried = saved(likely(tried, nodes, percent), "likely")
-    # one doc_id may stand for several sets: they are linked
-    of = rows.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    several = of.filter("a <> b").select("doc_id", "a")
-    alike = rows.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    links = saved(confirmed(tried, nodes, percent).unionByName(alike), "links")
+    links = saved(confirmed(tried, nodes, percent), "links")
     found = components(links)
+    made = [tried, links]
     for turn in [*range(1, ROUNDS_OF_HUBS + 1), None]:
         placed = met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         pairs = cross_pairs(placed, nodes, lambda x, y: estimated(x, y) >= least, percent, turn)
         pairs = saved(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         more = saved(confirmed(pairs, nodes, percent), "more-links")
         tried = tried.unionByName(pairs)
+        made += [pairs, more]
         if not more.isEmpty():
             links = saved(links.unionByName(more), "links")
+            made.append(links)
             found = components(links)
 
     named = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     reached = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     reached = saved(reached, "reached")
+    for done in (nodes, met, *made):
+        dropped(done)
+    let_go(docs.sparkSession)
     ids = reached.groupBy("component").agg(F.min("least").alias("reached"))
     by_node = reached.join(ids, "component").select("node", "reached")
     own_id = F.col("doc_id")

@@ -22,9 +22,9 @@ first; of the others it already knows that they go. So a passage that a third of
 group. A 32-byte name that stands among many different contexts (a sample of documents finds such names) isn't dealt
 by name but by run: all strings of its runs go on to round 3, whatever the sample says results are the same.
 
-Defined cases: texts are their UTF-8 bytes, null ones empty; a doc_id that several rows have, null too, is one
-document, of which the least row counts; a null doc_id comes before all others; documents under the threshold lose
-nothing; texts are read in segments, so that their length is bounded by one row's memory alone; an empty table gives an
+Defined cases: texts are their UTF-8 bytes, null ones empty; rows that share a doc_id, or have none, are documents of
+their own, which come after all others in the order of a hash; rows that are equal in doc_id and text are one document;
+other columns are left aside, whatever their names; documents under the threshold lose nothing; texts are read in segments, so that their length is bounded by one row's memory alone; an empty table gives an
 empty result.
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import let_go, one_row_each, saved, table, tasks_for
+from quern.llm.common import let_go, saved, table, tasks_for, with_own_ids
 from quern.llm.shingles import mix
 
 THRESHOLD = 100
@@ -134,9 +134,9 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("body")
-    )
+    """doc (see `with_own_ids`), doc_id, and the text's bytes as body."""
+    named = with_own_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body")), "doc")
+    return named.select("doc", "doc_id", F.coalesce("body", F.lit(b"")).alias("body"))
 
 
 def _rows(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
@@ -174,7 +174,7 @@ def run_rows(bodies: DataFrame) -> DataFrame:
         if parts:
             yield _compared(parts)
 
-    return bodies.mapInArrow(send, SENT)
+    return bodies.select("doc", "body").mapInArrow(send, SENT)
 
 
 def string_rows(met: DataFrame) -> DataFrame:
@@ -276,22 +276,22 @@ DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, sp
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (start, end, start, end ...)."""
-    bodies = bytes_of(one_row_each(docs.select("doc_id", text)), text)
+    bodies = bytes_of(docs, text)
     gone = repeated_spans(bodies).groupBy("doc").agg(F.collect_list("place").alias("runs"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 out = []
-                for doc, body, runs in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns)):
+                for doc_id, body, runs in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns)):
                     a, b = cut(body, np.array(runs or (), np.int64))
                     ends = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(body)]
                     kept = b"".join(body[i:j] for i, j in zip(ends[::2], ends[1::2]))
-                    out.append((None if doc == -(2**63) else doc, len(body), len(body) - len(kept), len(a), kept, ends[1:-1]))
+                    out.append((doc_id, len(body), len(body) - len(kept), len(a), kept, ends[1:-1]))
                 kinds = (pa.int64(),) * 4 + (pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in DONE.split(", ")])
 
-    return bodies.join(gone, "doc", "left").select("doc", "body", "runs").mapInArrow(apply, DONE)
+    return bodies.join(gone, "doc", "left").select("doc_id", "body", "runs").mapInArrow(apply, DONE)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

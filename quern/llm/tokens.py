@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of doc_id, one shard file a range, sorted within it. A shard holds one stream of ids, all
 its documents' one after another, cut into sequences of equal length: column `ids` is a fixed-size list of unsigned
-16-bit integers (32-bit where the vocabulary needs it), column `mask` a fixed-size list of bytes, 1 on ids and 0 on the
-filling at the end: both are read without a copy. Record batches hold equally many sequences, so that sequence i lies in batch i // BATCH at row
+16-bit integers (32-bit where the vocabulary needs it), column `mask` a fixed-size list of booleans, false on the
+filling at the end. Record batches hold equally many sequences, so that sequence i lies in batch i // BATCH at row
 i % BATCH, and a memory-mapped file gives it as an array without a copy (`Shard.sequence`). Next to each shard lies a
 file of the same format with (doc_id, start, n_tokens) of its documents, in order.
 
@@ -16,7 +16,7 @@ in a cache of bounded size.
 
 Defined cases: a null text counts as an empty one, which still has its end id; texts of any length go whole into one
 shard, over as many sequences as they need; rows with equal doc_id, or without one, stand in the order of hashes of their
-texts, and may fill many shards; a null doc_id sorts first; equal rows are each written; other columns are ignored,
+texts, and may fill many shards; a null doc_id sorts last; equal rows are each written; other columns are ignored,
 whatever their names; an empty table gives an empty result and empty shards.
 """
 
@@ -125,7 +125,7 @@ class ShardWriter:
         self.fs, self.path, self.length, self.dtype = fs, path, length, dtype
         self.own = f".{os.getpid()}-{os.urandom(4).hex()}"
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sinks = [fs.open_output_stream(path + x + self.own) for x in ("", ".index")]
         self.files = [pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, INDEX))]
         self.waiting: list[np.ndarray] = []
@@ -148,8 +148,8 @@ class ShardWriter:
         for k in range(0, whole, step):
             part = ids[k : min(k + step, whole)]
             fill = -len(part) % self.length
-            mask = np.ones(len(part) + fill, np.uint8)
-            mask[len(part) :] = 0
+            mask = np.ones(len(part) + fill, bool)
+            mask[len(part) :] = False
             part = np.concatenate([part, np.zeros(fill, self.dtype)]) if fill else part
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
             self.files[0].write_batch(pa.record_batch(columns, schema=self.schema))
@@ -173,12 +173,11 @@ class Shard:
         self.file, self.index = (pa.ipc.open_file(opened(path + x)) for x in ("", ".index"))
         self.length = self.file.schema.field("ids").type.list_size
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """ids and mask of sequence i, neither of them copied: the mask keeps Arrow's form of a bit each."""
         batch, row = self.file.get_batch(i // BATCH), i % BATCH
         part = slice(row * self.length, (row + 1) * self.length)
-        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True)[part] for c in ("ids", "mask"))
-        return ids, mask.view(np.bool_)
+        return batch.column("ids").flatten().to_numpy(zero_copy_only=True)[part], batch.column("mask").flatten()[part]
 
     def ids(self) -> Iterator[np.ndarray]:
         """The stream of ids, batch by batch, without the filling."""
@@ -187,7 +186,7 @@ class Shard:
             ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
             n = len(ids)
             if k == self.file.num_record_batches - 1:
-                n = int(np.count_nonzero(batch.column("mask").flatten().to_numpy(zero_copy_only=True)))
+                n = batch.column("mask").flatten().true_count
             yield ids[:n]
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -213,7 +212,8 @@ def written(docs: DataFrame, tokenizer: str, place: str, length: int = LENGTH, t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # the hash deals rows that share a doc_id over several shards
     rows = rows.withColumn("nth", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(n, "doc_id", "nth").sortWithinPartitions("doc_id", "nth", "text").select("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), "nth", "text"]
+    dealt = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     fs, path = store(place)
     fs.create_dir(path)
 

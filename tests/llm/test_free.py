@@ -34,7 +34,7 @@ def test_substrings(spark, docs, empty):
     q = "".join(chr(97 + (k * k * 7 + k) % 26) for k in range(400))
     extra = [(100, q), (101, "x" * 250), (102, "zz" + q[100:300] + "é" * 80), (103, "ab" * 120), (104, q[20:119]), (105, "é" * 80 + "k" + q[20:120]), (None, q[:150])]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    rows = {(-1 if r["doc_id"] is None else r["doc_id"]): (r["text"] or "").encode() for r in df.collect()}
+    rows = {(10**6 if r["doc_id"] is None else r["doc_id"]): (r["text"] or "").encode() for r in df.collect()}  # without doc_id: last
     seen, want = set(), {}
     for i in sorted(rows):
         b = rows[i]
@@ -47,7 +47,7 @@ def test_substrings(spark, docs, empty):
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     found = substrings.deduplicated(df).collect()
-    assert {(-1 if r["doc_id"] is None else r["doc_id"]): (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found} == want
+    assert {(10**6 if r["doc_id"] is None else r["doc_id"]): (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found} == want
     assert substrings.deduplicated(empty).count() == 0
 
 
@@ -259,7 +259,7 @@ def test_token_files(spark, docs, empty):
     df = docs.select("doc_id", "text").unionByName(extra)
     found = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokens.tokenized(df, length=32).collect())
     tok, at, want = Tokenizer.from_file(tokens.public_tokenizer()), 0, []
-    for i, t in sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, t in sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
