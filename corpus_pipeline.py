@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Rows without doc_id, or with one that several rows have, are documents
     of their own, which go only as near copies; of equal rows one stays. Links are op6's, at a similarity of 0.85 (see README)."""
-    named = common.saved(common.one_of_equals(common.with_own_ids(docs, "own id"), "own id"), "named")
+    named = common.with_own_ids(docs, "own id")
     rows = named.select(F.col("own id").alias("doc_id"), "text")
     dropped = neardup.near_duplicates(rows).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped id")).distinct()
     return named.join(dropped, named["own id"] == dropped["dropped id"], "left_anti").drop("own id")
