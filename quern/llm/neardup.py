@@ -202,7 +202,7 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
 
     A bucket's members are dealt into blocks, and every two blocks meet in a task of their own. With a turn, each block
     stays by itself, and its members meet its hub alone; another turn deals them into other blocks. Without one, a pair
-    that shares several buckets is made in the first of them, if nodes have all their keys.
+    that shares several buckets is made in the first of them.
     """
     counted = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = counted.filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -212,8 +212,12 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
     rows = rows.select("key", "node", "component", "block", other).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
-    own = F.col("keys") if turn is None and "keys" in nodes.columns else F.lit(None).cast("array<bigint>")
-    rows = rows.join(nodes.select("node", "n_shingles", "bits", own.alias("keys")), "node")
+    few = nodes.select("node", "n_shingles", "bits")
+    if turn is None:
+        few = few.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # as many as a node has keys
+    else:
+        few = few.withColumn("keys", F.lit(None).cast("array<bigint>"))
+    rows = rows.join(few, "node")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(key: int, group: list) -> pa.RecordBatch:
@@ -253,23 +257,28 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, near: Callable[[np.ndarray,
     return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def bucket_members(rows: DataFrame) -> DataFrame:
-    """(key, node, centre) for the rows (key, node) of all buckets with two nodes or more; the centre is the first node."""
+def bucket_members(rows: DataFrame, percent: int = 0) -> DataFrame:
+    """(key, node, centre) for the rows (key, node, size) of all buckets with two nodes or more; the centre is the first node.
+
+    A bucket's nodes lie in the order of their sizes, and it is cut where one is below the percentage of the next: nodes
+    on either side can't be similar. The key of such a part is made of the bucket's key and its centre.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_first = None, None
+        held_key = held_first = held_size = None
         for batch in batches:
-            key, node = (c.to_numpy() for c in batch.columns)
+            key, node, size = (c.to_numpy() for c in batch.columns)
             if not len(key):
                 continue
-            opens = np.concatenate([[held_key is None or key[0] != held_key], key[1:] != key[:-1]])
-            group, starts = np.cumsum(opens) - 1, node[opens]
-            first = starts[group] if opens[0] else np.concatenate([[held_first], starts])[group + 1]
-            held_key, held_first = key[-1], first[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[~opens]) for x in (key, node, first)], ["key", "node", "centre"])
+            apart = np.concatenate([[held_key is None or key[0] != held_key or size[0] * percent > 100 * held_size], (key[1:] != key[:-1]) | (size[1:] * percent > 100 * size[:-1])])
+            group, starts = np.cumsum(apart) - 1, node[apart]
+            first = starts[group] if apart[0] else np.concatenate([[held_first], starts])[group + 1]
+            held_key, held_first, held_size = key[-1], first[-1], size[-1]
+            own = mix(key.view(np.uint64) ^ mix(first.view(np.uint64))).view(np.int64) if percent else key
+            yield pa.RecordBatch.from_arrays([pa.array(x[~apart]) for x in (own, node, first)], ["key", "node", "centre"])
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
+    dealt = rows.select("key", "node", "size").repartition(tasks, "key").sortWithinPartitions("key", "size", "node")
     members = saved(dealt.mapInArrow(meet, "key long, node long, centre long"), "bucket-members")
     let_go(rows.sparkSession)
     # the centres belong to their buckets too
@@ -292,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     dropped(everything)
     least = floor_of(percent)
 
-    met = bucket_members(nodes.select(F.explode("keys").alias("key"), "node"))
+    met = bucket_members(nodes.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size")), percent)
     tried = met.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tried = saved(likely(tried, nodes, percent), "likely")
     links = saved(confirmed(tried, nodes, percent), "links")
