@@ -13,11 +13,12 @@ All of it is built-in expressions. A conversation's turns are gathered by conv_i
 the result: rows are dealt by conv_id, and a task holds one conversation at a time.
 
 The loss mask is run lengths: for each turn the characters before its text, those of its text, and whether the loss
-counts them; the rest of the text is never counted.
+counts them; the rest of the text is never counted. What the loss counts is cut from the text by these alone.
 
 Defined cases: null texts and roles count as empty; turns are ordered by (turn, role, text), rows that repeat stay
-repeated turns; rows with a null conv_id form one conversation; an empty table gives no conversation; columns with
-other names are ignored.
+repeated turns; rows without conv_id are conversations of their own, of one turn, or of as many as are equal; turns that the
+table has under conv_id -1 stand in one conversation with those that the query adds; texts of any length are kept whole; an
+empty table gives no conversation; columns with other names are ignored.
 """
 
 from __future__ import annotations
@@ -86,7 +87,8 @@ def read(text: Column) -> Column:
 def formatted(rows: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, turns (the source), text, mask, and identical (whether text reads back as turns)."""
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64(said)).alias("alone")
+    gathered = rows.groupBy("conv_id", alone).agg(F.sort_array(F.collect_list(said)).alias("said"))
     turns = F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     first = gathered.select("conv_id", turns.alias("turns")).withColumn("plainly", written(F.col("turns")))
     chosen = F.when(read(F.col("plainly")) == F.col("turns"), F.col("turns")).otherwise(
@@ -106,16 +108,25 @@ def formatted(rows: DataFrame) -> DataFrame:
     return done.withColumn("identical", read(F.col("text")) == F.col("turns"))
 
 
+def under_mask(text: Column, mask: Column) -> Column:
+    """What the loss counts of a formatted text, cut from it by the mask's run lengths alone: an array of written texts."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("runs"))
+
+    def step(done: Column, m: Column) -> Column:
+        run = F.array(F.struct((done["at"] + m["before"]).alias("a"), m["chars"].alias("n")))
+        return F.struct(
+            (done["at"] + m["before"] + m["chars"]).alias("at"),
+            F.when(m["trained"], F.concat(done["runs"], run)).otherwise(done["runs"]).alias("runs"),
+        )
+
+    return F.transform(F.aggregate(mask, start, step)["runs"], lambda r: F.substring(text, r["a"], r["n"]))
+
+
 def digests(done: DataFrame) -> DataFrame:
-    """What the formatted texts and masks alone say, read back by the parser."""
-    back = done.select("conv_id", "text", "mask", parsed(F.col("text")).alias("as_written")).withColumn(
-        "turns", F.transform("as_written", plain)
-    )
+    """What the formatted texts and masks alone say, read back by the parser and by the mask's run lengths."""
+    back = done.select("conv_id", "text", read(F.col("text")).alias("turns"), under_mask(F.col("text"), F.col("mask")).alias("counted"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    counted = F.filter(
-        F.transform("turns", lambda t, i: F.when(F.get("mask", i)["trained"], t["text"])), lambda t: t.isNotNull()
-    )
-    loss = back.withColumn("loss", F.array_join(counted, ""))
+    loss = back.withColumn("loss", F.array_join(F.transform("counted", unescaped), ""))
     return loss.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

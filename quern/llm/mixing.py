@@ -4,14 +4,18 @@ Each source's words, in a fixed order of its documents, form one stream that is
 source's target is met in slots: whole passes over its blocks, then part of one more pass in an order given by a
 pseudorandom permutation of block indices; the last slot takes only a beginning of its block, so that a source's
 words come within one of its target. Every slot draws its output shard by a hash; with the slots of a source fixed,
-the numbers of its slots per shard are multinomial. Slots and blocks meet in a join by (source, index).
+the numbers of its slots per shard are multinomial. Slots and blocks meet in a join by (source, index). `sharded` gives
+the mix itself, block by block in its shards; `mix` counts what its slots take of each document, and `resampled` says the
+same as rows of documents.
 
 Nothing here is gathered by source alone: stream offsets are summed in two levels, source by hash bucket (as many
 buckets as the square root of the number of rows), slots are dealt out in chunks, and the join's key is the block.
 
 Defined cases: a null text has size 0; a null source is a source like others and sorts last; documents and sources
-of size 0 take 0; repeated rows count each on its own; an empty table gives an empty result. Equal input rows give
-equal results whatever the partitioning.
+of size 0 take 0; in `mix` repeated rows, and rows that share a doc_id or have none, count each on its own, in the other two
+rows that are equal in all columns are one; texts of any length are taken apart once; columns whose names clash with the
+operator's own are kept, as those have blanks in their names; an empty table gives an empty result. Equal input rows
+give equal results whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_CLASS, WORD_CLASS, n_words, saved, table, with_own_ids
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, let, n_words, saved, table, with_own_ids, words
 
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -155,6 +159,31 @@ def pieces(placed: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFrame
     )
 
 
+def sharded(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """The mix: shard, place (from 0 in the shard), source, n_words and text of every slot. Blocks are packed once, of the
+    words of the documents that they span, and joined to the slots that name them."""
+    docs = with_own_ids(docs, "own id")
+    sized = saved(docs.select(F.col("own id").alias("doc_id"), "source", n_words(F.col(f"`{text}`")).alias("size")), "sizes")
+    sources = saved(targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), weights), "sources")
+    dealt = slots(sources, block, seed, shard_slots)
+    placed = offsets(sized, sources).filter("size > 0").select("rank", F.col("doc_id").alias("placed id"), "size", "offset")
+    met = docs.select("own id", words(F.col(f"`{text}`")).alias("words")).join(placed, F.col("own id") == F.col("placed id"))
+    first, last = (F.floor(x / block).cast("long") for x in (F.col("offset"), F.col("offset") + F.col("size") - 1))
+
+    def part(i: Column) -> Column:
+        low = F.greatest(i * block - F.col("offset"), F.lit(0)).cast("int")
+        high = F.least((i + 1) * block - F.col("offset"), F.col("size")).cast("int")
+        return F.struct(i.alias("index"), (F.col("offset") + low).alias("at"), F.slice("words", low + 1, high - low).alias("w"))
+
+    parts = met.select("rank", F.explode(F.transform(F.sequence(first, last), part)).alias("p")).select("rank", "p.*")
+    packed = parts.groupBy("rank", "index").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("parts"))
+    blocks = packed.select("rank", "index", F.flatten(F.transform("parts", lambda x: x["w"])).alias("w"))
+    taken = dealt.hint("merge").join(blocks, ["rank", "index"]).join(sources.select("rank", "source"), "rank")
+    mixed_up = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "rank", "slot"), "rank", "slot")
+    said = F.slice("w", F.lit(1), F.col("take").cast("int"))
+    return taken.select("shard", (F.row_number().over(mixed_up) - 1).alias("place"), "source", F.size(said).cast("long").alias("n_words"), F.array_join(said, " ").alias("text"))
+
+
 def mixed(found: DataFrame) -> DataFrame:
     """Words that the slots take of each document, repeats counted."""
     head = F.greatest(F.least("high", "head") - F.col("low"), F.lit(0))
@@ -197,14 +226,16 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
         longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), r["b"].alias("b"))))
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["b"] == r["a"]), longer).otherwise(F.concat(done, F.array(r)))
 
-    every = F.array_repeat(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b")), F.col("passes"))
-    takes = takes.select(
-        F.col("doc_id").alias("mixed id"), F.explode(F.concat(every, F.aggregate("runs", none, join_run))).alias("mixed run")
+    takes = takes.select(F.col("doc_id").alias("mixed id"), "passes", F.aggregate("runs", none, join_run).alias("runs"))
+    met = docs.join(takes.filter((F.col("passes") > 0) | (F.size("runs") > 0)), docs["own id"] == takes["mixed id"])
+    t = F.col(f"`{text}`")
+    cut = let(
+        F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)),
+        lambda w: F.transform("runs", lambda r: F.array_join(F.slice(w, r["a"] + 1, r["b"] - r["a"]), "")),
     )
-    met = docs.join(takes, docs["own id"] == takes["mixed id"])
-    r, t = F.col("mixed run"), F.col(f"`{text}`")
-    parts = F.slice(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0)))
-    out = met.withColumn(text, F.when(r["b"] < 0, t).otherwise(F.array_join(parts, "")))
+    none_cut = F.array().cast("array<string>")
+    said = F.concat(F.array_repeat(t, F.col("passes")), F.when(F.size("runs") > 0, cut).otherwise(none_cut))
+    out = met.withColumn("mixed text", F.explode(said)).withColumn(text, F.col("mixed text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in names])

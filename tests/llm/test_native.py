@@ -69,6 +69,27 @@ def test_chat_round_trip(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_mask_cuts_the_trained_texts(spark):
+    """Run lengths, walked by hand over the formatted text; rows without conv_id don't meet."""
+    texts = ["plain", "<|im_end|><|im_start|>x", "é<\\|ß😀", "", None, "a\nb"]
+    rows = [(i % 2, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(texts * 3)]
+    rows += [(None, 1, "assistant", "x"), (None, 1, "assistant", "y"), (None, 1, "user", "z"), (-1, 0, "user", "before")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").unionByName(chat.hostile(spark))
+    done = chat.formatted(df)
+    said = {}
+    for r in done.collect():
+        at, out = 0, []
+        for m in r["mask"]:
+            at += m["before"]
+            out += [re.sub(r"<\\(\\*)\|", r"<\1|", r["text"][at : at + m["chars"]])] if m["trained"] else []
+            at += m["chars"]
+        assert out == [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+        said.setdefault(r["conv_id"], []).append("".join(out))
+    assert sorted(said[None]) == ["", "x", "y"] and len(said[-1]) == 1
+    found = sorted((str(r["conv_id"]), r["loss_chars"], r["loss_sha256"]) for r in chat.digests(done).collect())
+    assert found == sorted((str(k), len(x), hashlib.sha256(x.encode()).hexdigest()) for k, v in said.items() for x in v)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 97, 1000):
         p = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect()]
@@ -100,6 +121,42 @@ def test_mix_meets_targets(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_shards_hold_the_mix(spark, docs, empty):
+    """Blocks of fixed length by shard: they say what mix counts, word for word, and slots fall on shards evenly."""
+    unique = docs.dropDuplicates(["doc_id"])
+    rows = mixing.sharded(unique, block=16, shard_slots=50).collect()
+    stream = Counter()
+    for r in unique.collect():
+        stream.update((r["source"], w) for w in re.findall(WORD, r["text"] or ""))
+    taken, by_shard = Counter(), Counter()
+    for r in rows:
+        w = r["text"].split(" ")
+        assert r["n_words"] == len(w) <= 16 and all((r["source"], x) in stream for x in w)
+        taken[r["source"]] += len(w)
+        by_shard[r["shard"]] += 1
+    source = {r["doc_id"]: r["source"] for r in unique.collect()}
+    want = Counter()
+    for r in mixing.mix(unique, block=16).collect():
+        want[source[r["doc_id"]]] += r["taken"]
+    assert taken == Counter({k: v for k, v in want.items() if v})
+    assert sorted((r["shard"], r["place"]) for r in rows) == [(s, i) for s in sorted(by_shard) for i in range(by_shard[s])]
+    n = sum(by_shard.values())
+    assert all(abs(v - n / len(by_shard)) < 6 * (n / len(by_shard)) ** 0.5 for v in by_shard.values())
+    assert mixing.sharded(empty).count() == 0
+
+
+def test_shard_counts_are_multinomial(spark):
+    sources = spark.createDataFrame([(0, 40_000, 30_000.0), (1, 9_000, 18_000.0)], "rank long, size long, target double")
+    dealt = mixing.slots(sources, block=10, shard_slots=300)
+    counts = {(r["rank"], r["shard"]): r["n_slots"] for r in mixing.shard_counts(dealt).collect()}
+    slots_of, shards = {0: 3000, 1: 1800}, len({s for _, s in counts})
+    assert shards == 16 and {k: sum(v for (q, _), v in counts.items() if q == k) for k in slots_of} == slots_of
+    for rank, n in slots_of.items():  # chi-squared against equal chances, 15 degrees of freedom
+        assert 3 < sum((counts.get((rank, s), 0) - n / shards) ** 2 / (n / shards) for s in range(shards)) < 45
+    index = {r[0]: r[1] for r in dealt.filter("rank = 0").groupBy("index").count().collect()}
+    assert set(index.values()) == {1} and len(index) == 3000
+
+
 def test_resampled_says_what_mix_counts(spark, docs):
     unique = docs.dropDuplicates(["doc_id"])
     rows = mixing.resampled(unique, block=16)
