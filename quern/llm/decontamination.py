@@ -1,24 +1,26 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of SEED equal words of a document and a benchmark item; their Karp-Rabin hashes are joined, and each hit
-is compared word by word. Hits on one diagonal merge into maximal matches. Tiling then takes the longest match that
-overlaps no tile so far, again and again; a match that partly overlaps one is cut to what is free and goes back in
-line. The share of an item's words under tiles is its coverage, whatever their order in the document, so that a passage
-whose parts were moved about counts like one in order. A document leaks an item if the coverage is COVER or more.
-
-The benchmark is looked up in every task, from a broadcast, only if its texts have no more than BROADCAST characters in
-all, which is asked first. A larger one is joined by seed hash in Spark: documents and items meet as pairs that share a
-seed, and each pair is tiled where it lies.
-
-Defined cases: words are runs of letters, digits and _, lower-cased; null texts have none; items with fewer than SEED
-words have no seed and match nothing; a null doc_id or item_id stays null; equal items are each reported; repeated
-documents are each reported; empty tables give an empty result.
+Seeds are runs of SEED equal words of a document and a benchmark item. Running Karp-Rabin hashes name the runs of both
+sides, and Spark joins them by name: documents send only the runs that a Bloom filter of the items' names lets through, a
+filter of at most FILTER_BITS, whatever the benchmark's size; one that is overfull lets more through and loses none. Where
+the items are few, the planner sends them to every task; else both sides are dealt by name, and adaptive execution splits
+names that very many documents say. Texts don't move: what meets for a document and an item are places.
+
+Hits on one diagonal merge into maximal matches. Tiling then takes the longest match that overlaps no tile so far, again
+and again; a match that partly overlaps one is cut to what is free and goes back in line. The share of an item's words
+under tiles is its coverage, whatever their order in the document, so that a passage whose parts were moved about
+counts like one in order. A document leaks an item if the coverage is COVER or more.
+
+Defined cases: words are runs of letters, digits and _, lower-cased; null and empty texts have none; texts of any length are
+read whole; items with fewer than SEED words have no seed and match nothing; a null doc_id or item_id stays null; rows
+that share a doc_id are judged by their own texts (column row tells them apart), and rows that are equal in doc_id and
+text are one, as are items that are equal in item_id and text; other columns are left aside, whatever their names;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,26 +30,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
-from quern.llm.shingles import mix, shingles
+from quern.llm.shingles import forget, mix, word_hashes
 
 SEED = 5
 COVER = 0.6
-BROADCAST = 16_000_000
+#: Bits of the filter for each seed of the benchmark, and of the whole filter at most.
+BITS_A_SEED, FILTER_BITS = 16, 1 << 25
 WORDS = re.compile(r"\w+")
-LEAKS = "doc_id long, item_id long, coverage double, n_tiles int, first_word int"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+LEAKS = "doc_id long, row long, item_id long, coverage double, n_tiles int, first_word int"
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def rolled(ids: np.ndarray) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of SEED ids."""
-    out = np.zeros(max(0, len(ids) - SEED + 1), np.uint64)
-    for k in range(SEED):
-        out = out * _BASE + ids[k : len(ids) - SEED + 1 + k]
-    return mix(out)
+def rolled(values: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of SEED values: a running sum of values, each times a power, gives each window from
+    the one before it by what leaves and what comes in."""
+    n = len(values)
+    if n < SEED:
+        return np.empty(0, np.uint64)
+    ones = np.ones(n, np.uint64)
+    ones[1:] = np.uint64(_BACK)
+    falling = np.multiply.accumulate(ones)
+    running = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(values * falling)])
+    ones[1:] = np.uint64(_BASE)
+    rising = np.multiply.accumulate(ones)
+    return mix((running[SEED:] - running[:-SEED]) * rising[SEED - 1 :])
 
 
 def tiles(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -77,107 +88,109 @@ def tiles(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-class Benchmark:
-    """Items ready for lookup: the vocabulary, each item's ids, and the places of each seed hash."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.items, self.names = [], []
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for name, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], np.uint64)
-            if len(ids) >= SEED:
-                for t, h in enumerate(rolled(ids).tolist()):
-                    self.seeds[h].append((len(self.items), t))
-                self.items.append(ids)
-                self.names.append(name)
-
-    def leaks(self, text: str | None, cover: float) -> list[tuple[int | None, float, int, int]]:
-        """(item, coverage, tiles, first word of a tile) for all items that the text leaks."""
-        words = tokens(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), np.uint64, len(words))
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        at = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED) if len(ids) >= SEED else ()
-        if not len(at):
-            return []
-        hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        hashes = rolled(ids)
-        for p in at.tolist():
-            for item, t in self.seeds.get(int(hashes[p]), ()):
-                if np.array_equal(self.items[item][t : t + SEED], ids[p : p + SEED]):
-                    hits[item][p - t].append(p)
-        found = []
-        for item, diagonals in hits.items():
-            matches = []
-            for diagonal, places in diagonals.items():
-                start = last = places[0]
-                for p in [*places[1:], None]:
-                    if p is None or p > last + 1:
-                        matches.append((last - start + SEED, start, start - diagonal))
-                        start = p
-                    last = p
-            laid = tiles(matches)
-            share = sum(n for n, _, _ in laid) / len(self.items[item])
-            if share >= cover:
-                found.append((self.names[item], share, len(laid), min(p for _, p, _ in laid)))
-        return found
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-    names = [c.split()[0] for c in LEAKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-
-def _by_broadcast(docs: DataFrame, items: DataFrame, cover: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    ready: list[Benchmark] = []
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not ready:
-            ready.append(Benchmark(shared.value))
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                ids, texts = (c.to_pylist() for c in batch.slice(k, 512).columns)
-                yield _batch([(i, *x) for i, t in zip(ids, texts) for x in ready[0].leaks(t, cover)])
+def matches_of(hits: np.ndarray) -> list[tuple[int, int, int]]:
+    """Maximal matches (length, place in the document, place in the item) of seeds at places (document, item)."""
+    hits = np.unique(hits, axis=0)
+    diagonal = hits[:, 0] - hits[:, 1]
+    order = np.lexsort((hits[:, 0], diagonal))
+    hits, diagonal = hits[order], diagonal[order]
+    opens = np.ones(len(hits), bool)
+    opens[1:] = (diagonal[1:] != diagonal[:-1]) | (hits[1:, 0] != hits[:-1, 0] + 1)
+    first = np.flatnonzero(opens)
+    n = np.diff(np.append(first, len(hits))) + SEED - 1
+    return list(zip(n.tolist(), hits[first, 0].tolist(), hits[first, 1].tolist()))
+
+
+def covered_at_most(hits: np.ndarray) -> int:
+    """Words of the item that lie under any seed: tiles can't cover more."""
+    t = np.unique(hits[:, 1])
+    return int(np.minimum(np.diff(t), SEED).sum()) + SEED
 
-    return docs.mapInArrow(scan, LEAKS)
 
+def seeds(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(id, row, n_words, seed, place) of all runs of SEED words, of those that the filter lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
-def _by_join(docs: DataFrame, items: DataFrame, cover: float) -> DataFrame:
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                keys, texts = (c.to_pylist() for c in batch.slice(k, 64).columns)
-                sets = [shingles([w.encode() for w in ws], SEED) if len(ws := tokens(t)) >= SEED else np.empty(0, np.uint64) for t in texts]
-                owners = np.repeat(np.array(keys, np.int64), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(sets).view(np.int64))], ["key", "seed"])
+                part = batch.slice(k, 64)
+                said = [tokens(t) for t in part.column(2).to_pylist()]
+                sizes = np.array([len(w) for w in said])
+                hashes = rolled(word_hashes([w for ws in said for w in ws]))
+                ends = np.cumsum(sizes)
+                # of all words in a row, the runs that lie in one text
+                own = np.repeat(np.arange(len(said)), np.maximum(sizes - SEED + 1, 0))
+                place = np.arange(len(own)) - np.repeat(np.cumsum(np.maximum(sizes - SEED + 1, 0)) - np.maximum(sizes - SEED + 1, 0), np.maximum(sizes - SEED + 1, 0))
+                h = hashes[(ends - sizes)[own] + place] if len(own) else hashes[:0]
+                if shared is not None:
+                    ok = np.flatnonzero(passes(shared.value, h))
+                    own, place, h = own[ok], place[ok], h[ok]
+                columns = [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(sizes[own], pa.int32()), pa.array(h.view(np.int64)), pa.array(place, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n_words", "seed", "place"])
+        forget()
+
+    return texts.mapInArrow(send, "id long, row long, n_words int, seed long, place int")
+
+
+def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of so many bits, a power of 2."""
+    return h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)
+
+
+def passes(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = ((wanted[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 for x in bits_of(h, 8 * len(wanted)))
+    return (a & b).astype(bool)
+
+
+def filter_of(items: DataFrame) -> np.ndarray:
+    """A Bloom filter of the items' seeds: each task sets its own bits, and a few arrays of bounded size come together."""
+    n = items.count()
+    size = 1 << min(max((n * BITS_A_SEED).bit_length(), 13), FILTER_BITS.bit_length() - 1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, bool)
+        for batch in batches:
+            for at in bits_of(batch.column(0).to_numpy().view(np.uint64), size):
+                own[at.astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["bits"])
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        # rows that say the same are one here, and come apart again when pairs meet their rows
-        return df.withColumn(f"{name}_key", F.xxhash64(f"{name}_id", f"{name}_text"))
+    parts = items.select("seed").coalesce(4).mapInArrow(fill, "bits binary").collect()
+    wanted = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        wanted |= np.frombuffer(r["bits"], np.uint8)
+    return wanted
 
-    d = keyed(docs.toDF("doc_id", "doc_text"), "doc")
-    b = keyed(items.toDF("item_id", "item_text"), "item")
-    of = {n: x.select(f"{n}_key", f"{n}_text").distinct().mapInArrow(seeds, "key long, seed long").toDF(f"{n}_key", "seed") for n, x in (("doc", d), ("item", b))}
-    pairs = of["doc"].join(of["item"], "seed").select("doc_key", "item_key").distinct()
-    met = pairs.join(d, "doc_key").join(b, "item_key").select("doc_id", "doc_text", "item_id", "item_text")
 
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            yield _batch([(doc, *x) for doc, text, item, it in rows for x in Benchmark([(item, it)]).leaks(text, cover)])
+def leaked(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text: str = "text") -> DataFrame:
+    """One row per document and benchmark item that it leaks: doc_id, row (hash of the text), item_id, coverage, n_tiles,
+    first_word."""
+
+    def named(df: DataFrame, name: str, said: str) -> DataFrame:
+        said = F.col(f"`{said}`").cast("string")
+        return df.select(F.col(name).cast("long").alias("id"), F.xxhash64(said).alias("row"), said.alias("text"))
 
-    return met.mapInArrow(tile, LEAKS)
+    items = seeds(named(benchmark, "item_id", "text").distinct()).toDF("item_id", "item", "n_words", "seed", "t")
+    hits = seeds(named(docs, "doc_id", text), filter_of(items)).toDF("doc_id", "row", "own", "seed", "p")
+    met = hits.join(items, "seed").groupBy("doc_id", "row", "item_id", "item", "n_words").agg(F.collect_list("p").alias("p"), F.collect_list("t").alias("t"))
 
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, row, item_id, n, p, t in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.stack([np.array(p, np.int64), np.array(t, np.int64)], axis=1)
+                if covered_at_most(found) >= cover * n:
+                    laid = tiles(matches_of(found))
+                    share = sum(k for k, _, _ in laid) / n
+                    if share >= cover:
+                        out.append((doc_id, row, item_id, share, len(laid), min(p for _, p, _ in laid)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            columns = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in LEAKS.split(", ")])
 
-def leaked(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, most: int = BROADCAST, text: str = "text") -> DataFrame:
-    """One row per document and benchmark item that it leaks: doc_id, item_id, coverage, n_tiles, first_word."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    return (_by_broadcast if size <= most else _by_join)(d, items, cover)
+    return met.select("doc_id", "row", "item_id", "n_words", "p", "t").mapInArrow(tile, LEAKS)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "first_word")
