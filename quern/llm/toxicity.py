@@ -1,30 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as clauses of symbols: a word is an INSULT (with a weight), a THREAT, a TARGET, a NEGATION, a verb of
-REPORT, or OTHER; punctuation ends a clause. Four transducers are composed, each reading what the one before writes:
+A text is read as clauses of symbols: a word is an INSULT of some level, a THREAT, a TARGET, a NEGATION, a verb of REPORT, or
+OTHER; punctuation ends a clause. Six transducers are composed, each reading what the one before writes, marks included:
 
 * negation marks symbols within NEAR words after a negation;
-* reported speech marks symbols after a verb of report, up to the end of the clause;
-* target marks insults of a clause that also addresses someone;
-* threat keeps a threat only if a target follows within NEAR words.
+* reported speech marks symbols after a verb of report, up to the end of the clause, unless that verb is negated;
+* target marks what follows someone who is addressed, and, from right to left, what such a one follows, near or anywhere
+  in the clause;
+* threat writes its class, with a weight of one, where a target follows near and no negation precedes it;
+* insult writes the class that its marks make it (negated, reported, addressed, plain), with the weight of its level.
 
-What the composed machine writes for a clause is a sum of weights by mark: plain, targeted, negated, reported, threat.
-A document's features are these sums over its clauses, and a logistic function turns them into a score.
+The first three read a clause from left to right, the others what these wrote from right to left. Weights stand on
+arcs, and a clause's weight in a class is the sum over its path. A document's features are these sums over its clauses, and
+a logistic function turns them into a score.
 
 Insult weights and the logistic weights are learned from labelled documents: word beginnings and words that stand in
 toxic documents far more often than in others. Learning uses at most SAMPLE labelled documents, those with the smallest
 hash of doc_id, of the rows that the caller gives; that bound is why their labels may be broadcast. Scoring covers all
 rows with the fitted model, one narrow pass.
 
-Defined cases: null and empty texts get the score that no finding gives; texts are read whole; rows with equal doc_id
-are scored each by itself; without labels of both kinds the lexicon is empty and all scores are the share of toxic
+Defined cases: null and empty texts get the score that no finding gives; texts are read whole; rows with equal doc_id, or
+without one, are scored each by itself, and repeated rows equally; other columns are left aside, whatever their names; without
+labels of both kinds the lexicon is empty and all scores are the share of toxic
 labels, or 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import exp, log
 
@@ -37,6 +41,8 @@ from quern.llm.common import table
 
 SAMPLE = 20_000
 NEAR = 3
+#: Bound of a worker's cache of words.
+CACHED = 1 << 17
 #: Lengths of word beginnings that are tried; 0 stands for the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8)
 TOKENS = re.compile(r"\w+|[.!?;\n]")
@@ -47,51 +53,78 @@ TARGETS = set("you your yourself he she him her they them du dich dir ihr euch t
 NEGATIONS = set("not never no nobody nothing nicht nie kein keine niemals pas jamais aucun nunca jamás ningún".split())
 REPORTS = set("said says wrote writes called calls claims claimed quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
-#: Symbols, and marks that transducers add to an insult or a threat.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
-NEGATED, REPORTED, ADDRESSED, KEPT = 8, 16, 32, 64
+#: Symbols read: kinds, of which the last LEVELS are insults by rising weight; marks stand above them.
+OTHER, THREAT, TARGET, NEGATION, REPORT, STOP, INSULT = range(7)
+LEVELS, LEAST_ODDS, STEP = 16, 2.5, 0.35
+#: Symbols written by the last transducers: the classes.
 FEATURES = ("plain", "addressed", "negated", "reported", "threats", "density")
+CLASSES = INSULT + LEVELS
+KIND, NEGATED, REPORTED, ADDRESSED, NEAR_TARGET = 31, 32, 64, 128, 256
+SYMBOLS = range(512)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: arcs[state][symbol & 7] is (next state, marks to add to the symbol)."""
+    """Deterministic and weighted: arcs[state][symbol] is (next state, symbol written, weight)."""
 
-    arcs: tuple[tuple[tuple[int, int], ...], ...]
+    arcs: tuple[tuple[tuple[int, int, float], ...], ...]
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: other reads what self writes. States are pairs; marks add up."""
+        """The composition: other reads what self writes. States are pairs, weights add up."""
         n = len(other.arcs)
-        arcs = []
-        for a in self.arcs:
-            for b in other.arcs:
-                arcs.append(tuple((a[s][0] * n + b[s][0], a[s][1] | b[s][1]) for s in range(7)))
-        return Transducer(tuple(arcs))
 
+        def arc(a: int, b: int, symbol: int) -> tuple[int, int, float]:
+            p, between, v = self.arcs[a][symbol]
+            q, out, w = other.arcs[b][between]
+            return p * n + q, out, v + w
 
-def after(trigger: int, mark: int, span: int | None) -> Transducer:
-    """Marks what stands within so many symbols after the trigger; None: up to the end of the clause."""
+        return Transducer(tuple(tuple(arc(a, b, s) for s in SYMBOLS) for a in range(len(self.arcs)) for b in range(n)))
+
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """What it writes for each symbol, with the weight of the arc."""
+        state, out = 0, []
+        for s in symbols:
+            state, symbol, weight = self.arcs[state][s]
+            out.append((symbol, weight))
+        return out
+
+
+def after(trigger: int, mark: int, span: int | None, unless: int = 0) -> Transducer:
+    """Marks what stands within so many symbols after the trigger, or, for None, up to the end of the clause. A trigger
+    that has a mark of `unless` is none."""
     last = 1 if span is None else span
-    arcs = []
-    for left in range(last + 1):
-        on = mark if left else 0
-        fade = left if span is None else max(0, left - 1)
-        arcs.append(tuple((last, 0) if s == trigger else (0, 0) if s == STOP else (fade, on) for s in range(7)))
-    return Transducer(tuple(arcs))
+
+    def arc(left: int, s: int) -> tuple[int, int, float]:
+        kind = s & KIND
+        if kind == STOP:
+            return 0, s, 0.0
+        out = s | mark if left else s
+        if kind == trigger and not s & unless:
+            return last, out, 0.0
+        return (left if span is None else max(0, left - 1)), out, 0.0
+
+    return Transducer(tuple(tuple(arc(left, s) for s in SYMBOLS) for left in range(last + 1)))
+
+
+def writes(classed: Callable[[int], tuple[int, float] | None]) -> Transducer:
+    """One state: a symbol becomes the class that `classed` gives, with its weight, or stays."""
+    return Transducer((tuple((0, *(classed(s) or (s, 0.0))) for s in SYMBOLS),))
+
+
+def threat(s: int) -> tuple[int, float] | None:
+    return (CLASSES + FEATURES.index("threats"), 1.0) if s & KIND == THREAT and s & NEAR_TARGET and not s & NEGATED else None
 
 
-#: Left to right: negation and reported speech, and a target before an insult.
-FORWARD = after(NEGATION, NEGATED, NEAR).then(after(REPORT, REPORTED, None)).then(after(TARGET, ADDRESSED, None))
-#: Right to left: a target after an insult or a threat.
-BACKWARD = after(TARGET, KEPT, NEAR).then(after(TARGET, ADDRESSED, None))
+def insult(s: int) -> tuple[int, float] | None:
+    level = (s & KIND) - INSULT
+    if not 0 <= level < LEVELS:
+        return None
+    kind = "negated" if s & NEGATED else "reported" if s & REPORTED else "addressed" if s & ADDRESSED else "plain"
+    return CLASSES + FEATURES.index(kind), LEAST_ODDS + STEP * (level + 0.5)
 
 
-def marked(symbols: list[int], machine: Transducer, state: int = 0) -> list[int]:
-    out = []
-    for s in symbols:
-        state, marks = machine.arcs[state][s & 7]
-        out.append(s | marks)
-    return out
+FORWARD = after(NEGATION, NEGATED, NEAR).then(after(REPORT, REPORTED, None, unless=NEGATED)).then(after(TARGET, ADDRESSED, None))
+BACKWARD = after(TARGET, NEAR_TARGET, NEAR).then(after(TARGET, ADDRESSED, None)).then(writes(threat)).then(writes(insult))
 
 
 @dataclass
@@ -100,47 +133,39 @@ class Model:
 
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [0.0] * (len(FEATURES) + 1))
-    cache: dict[str, tuple[int, float]] = field(default_factory=dict)
+    cache: dict[str, int] = field(default_factory=dict)
 
-    def symbol(self, word: str) -> tuple[int, float]:
+    def symbol(self, word: str) -> int:
         if (known := self.cache.get(word)) is None:
-            if len(self.cache) > 1 << 19:
+            if len(self.cache) > CACHED:
                 self.cache.clear()
             weight = max([self.lexicon.get(word + " ", 0.0), *(self.lexicon.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n)])
             kinds = ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
-            known = (INSULT, weight) if weight > 0 else (next((k for k, w in kinds if word in w), STOP if word in ".!?;\n" else OTHER), 0.0)
+            level = INSULT + max(0, min(LEVELS - 1, int((weight - LEAST_ODDS) / STEP)))
+            known = level if weight > 0 else next((k for k, w in kinds if word in w), STOP if word in ".!?;\n" else OTHER)
             self.cache[word] = known
         return known
 
     def features(self, text: str | None) -> list[float]:
         found = [self.symbol(w) for w in TOKENS.findall((text or "").lower())]
-        sums = dict.fromkeys(FEATURES, 0.0)
+        sums = [0.0] * len(FEATURES)
         start = 0
-        for k in range(len(found) + 1):
-            if k < len(found) and found[k][0] != STOP:
-                continue
-            clause = found[start:k]
-            start = k + 1
-            if not any(s in (INSULT, THREAT) for s, _ in clause):
-                continue
-            ahead = marked([s for s, _ in clause], FORWARD)
-            back = marked([s for s, _ in reversed(clause)], BACKWARD)[::-1]
-            for (s, weight), a, b in zip(clause, ahead, back):
-                marks = a | b
-                if s == INSULT:
-                    kind = "negated" if marks & NEGATED else "reported" if marks & REPORTED else "addressed" if marks & ADDRESSED else "plain"
-                    sums[kind] += weight
-                elif s == THREAT and marks & KEPT and not marks & NEGATED:
-                    sums["threats"] += 1.0
-        sums["density"] = 100 * sum(sums[f] for f in FEATURES[:4]) / (len(found) + 50)
-        return [log(1 + sums[f]) for f in FEATURES]
+        for k in [*(i for i, s in enumerate(found) if s == STOP), len(found)]:
+            clause, start = found[start:k], k + 1
+            if any(s == THREAT or s >= INSULT for s in clause):
+                ahead = [s for s, _ in FORWARD.run(clause)]
+                for s, weight in BACKWARD.run(ahead[::-1]):
+                    if s >= CLASSES and weight:
+                        sums[s - CLASSES] += weight
+        sums[-1] = 100 * sum(sums[:4]) / (len(found) + 50)
+        return [log(1 + x) for x in sums]
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text))) + self.weights[-1]
         return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
 
 
-def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 2.5) -> dict[str, float]:
+def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: float = LEAST_ODDS) -> dict[str, float]:
     """Weights of beginnings and words by log odds of documents; counts: (entry, toxic documents, clean documents).
 
     An entry is left out where a shorter beginning of it says as much.
@@ -206,13 +231,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     """The kept columns, score and predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
     rows = docs.select(*keep, F.col(f"`{text}`").cast("string").alias("scored text"))
-    own: list[Model] = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not own:
-            own.append(Model(*shared.value))
+        own = Model(*shared.value)
         for batch in batches:
-            scores = pa.array([own[0].score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
+            scores = pa.array([own.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*keep, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
