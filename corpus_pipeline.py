@@ -27,10 +27,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; of rows that share a doc_id, or have none, those whose own text leaks go."""
     leaks = decontamination.leaked(docs, common.table(spark, sf_dir, "benchmark"))
-    leaking = common.saved(leaks.select(F.col("doc_id").alias("leaking id")).distinct(), "leaking")
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(leaking["leaking id"]), "left_anti")
+    leaking = common.saved(leaks.select(F.col("doc_id").alias("leaking id"), F.col("row").alias("leaking row")).distinct(), "leaking")
+    same = docs["doc_id"].eqNullSafe(leaking["leaking id"]) & (F.xxhash64(docs["text"]) == leaking["leaking row"])
+    return docs.join(leaking, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
