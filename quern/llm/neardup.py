@@ -308,8 +308,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     found = components(links)
     made = [tried, links]
     for turn in [*range(1, ROUNDS_OF_HUBS + 1), None]:
-        placed = met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        pairs = cross_pairs(placed, nodes, lambda x, y: estimated(x, y) >= least, percent, turn)
+        placed = met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        counted = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        # components only grow: buckets that hold one alone are done
+        still = saved(placed.join(counted.filter("low <> high").select("key"), "key", "left_semi"), "open-buckets")
+        dropped(met)
+        met = still
+        if still.isEmpty():
+            break
+        pairs = cross_pairs(still, nodes, lambda x, y: estimated(x, y) >= least, percent, turn)
         pairs = saved(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         more = saved(confirmed(pairs, nodes, percent), "more-links")
         tried = tried.unionByName(pairs)
