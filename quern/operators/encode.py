@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import filled
+from quern.operators.stats import numbered, quantiles
 
 
 def frequencies(train: DataFrame, column: str, token: str = "__NA__") -> DataFrame:
     """(value, freq): share of all training rows; missing and empty count as the token."""
     counts = train.groupBy(filled(F.col(column), token).alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("freq"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("value", (F.col("n") / F.col("total")).alias("freq"))  # total is one row
 
 
 def apply_map(df: DataFrame, state: DataFrame, value: Column, to: str, default: object) -> DataFrame:
@@ -26,15 +27,14 @@ def apply_map(df: DataFrame, state: DataFrame, value: Column, to: str, default:
 
 
 def sorted_codes(train: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes from 0 in the order of values; one row per distinct value is ordered."""
-    values = train.select(F.col(column).alias("value")).dropna().distinct()
-    return values.withColumn("code", F.row_number().over(W.orderBy("value")) - 1)
+    """(value, code): codes from 0 in the order of values."""
+    return numbered(train.select(F.col(column).alias("value")).dropna().distinct(), "value", "code")
 
 
 def first_seen_codes(train: DataFrame, column: str, order: str = "_org_idx", token: str = "UNKNOWN") -> DataFrame:
     """(value, code): codes from 0 in the order in which values first appear; missing reads as the token."""
     first = train.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(token)).alias("value")).agg(F.min(order).alias("first"))
-    return first.select("value", (F.row_number().over(W.orderBy("first")) - 1).alias("code"))
+    return numbered(first, "first", "code").select("value", "code")
 
 
 def fixed_categories(df: DataFrame, categories: DataFrame, column: str) -> DataFrame:
@@ -44,7 +44,8 @@ def fixed_categories(df: DataFrame, categories: DataFrame, column: str) -> DataF
 
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    return train.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    """The median of each column, None for one without values: one number a column comes to the driver."""
+    return dict.fromkeys(columns) | {r["column"]: r["value"] for r in quantiles(train, columns, [0.5]).collect()}
 
 
 def impute(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
@@ -68,5 +69,6 @@ def threshold_split(df: DataFrame, column: str, until: int) -> tuple[DataFrame,
 
 def hash_split(df: DataFrame, key: str, fifths: int = 4) -> tuple[DataFrame, DataFrame]:
     """A split that doesn't depend on partitioning: so many fifths of the keys, and the rest."""
-    part = F.pmod(F.xxhash64(key), F.lit(5))
-    return df.filter(part < fifths), df.filter(part >= fifths)
+    edge = f"{fifths * (16**8) // 5:08x}" if fifths < 5 else "g"
+    early = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8) < edge
+    return df.filter(early), df.filter(~early)

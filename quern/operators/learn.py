@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -32,14 +33,27 @@ def estimator(model: str, params: Mapping[str, object] | None = None, seed: int
     raise ValueError(f"model {model!r} isn't available" if model in DECLARED else f"unknown model {model!r}")
 
 
-def fit(train: DataFrame, features: Sequence[str], model: str, params: Mapping[str, object] | None = None, valid: DataFrame | None = None, seed: int = 42) -> Model:
-    """With validation rows, boosting stops when their error no longer falls."""
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Number of rounds up to the least error, not looking further once so many rounds brought none that is less."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit(train: DataFrame, features: Sequence[str], model: str, params: Mapping[str, object] | None = None, valid: DataFrame | None = None, seed: int = 42, patience: int = 50) -> Model:
+    """With validation rows, boosting keeps the rounds up to the best one (see `best_round`): it is fitted once to see the
+    errors of all rounds, and again with as many rounds as are kept, which gives the same trees."""
     est = estimator(model, params, seed)
     rows = assembled(train, features)
-    if valid is not None and model == "gbt":
-        both = rows.withColumn("is_valid", F.lit(False)).unionByName(assembled(valid, features).withColumn("is_valid", F.lit(True)))
-        return est.setValidationIndicatorCol("is_valid").fit(both)
-    return est.fit(rows)
+    fitted = est.fit(rows)
+    if valid is None or model != "gbt":
+        return fitted
+    rounds = best_round(fitted.evaluateEachIteration(assembled(valid, features).select("features", "target"), "squared"), patience)
+    return fitted if rounds == fitted.getNumTrees else est.setMaxIter(rounds).fit(rows)
 
 
 def refit(train: DataFrame, valid: DataFrame, features: Sequence[str], fitted: Model, model: str, params: Mapping[str, object] | None = None, seed: int = 42) -> Model:
@@ -88,6 +102,12 @@ def best_by(errors: DataFrame, n: int = 3) -> DataFrame:
     return errors.filter(F.col("error").isNotNull() & ~F.isnan("error")).orderBy("error", "model").limit(n)
 
 
+def sampled(space: Mapping[str, Sequence[object]], n: int = 100, seed: int = 42) -> list[dict[str, object]]:
+    """n parameter sets, each value drawn from its list; equal seeds give equal sets."""
+    draw = random.Random(seed)
+    return [{k: draw.choice(list(v)) for k, v in space.items()} for _ in range(n)]
+
+
 def search(train: DataFrame, valid: DataFrame, features: Sequence[str], model: str, trials: Sequence[Mapping[str, object]], inverse: Callable[[DataFrame], DataFrame] = lambda d: d, seed: int = 42) -> DataFrame:
     """(trial, params, rmse) of each parameter set on the given split."""
     rows = []

@@ -11,10 +11,11 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.scalars import strip
+
 
 def last_wins(ref: DataFrame, key: str, values: Sequence[str], order: str) -> DataFrame:
     """One row per key, that with the greatest `order`; rows with an empty key or a missing value don't count."""
@@ -67,33 +68,48 @@ def matching_ratio(candidate: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, t, c).ratio() for c, t in zip(candidate, target)])
 
 
+def most_ratio(a: Column, b: Column) -> Column:
+    """A bound of the matching ratio: what two texts have in common at most, letter by letter, whatever the order."""
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    letters = F.array_distinct(F.split(a, ""))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    size = F.length(a) + F.length(b)
+    return F.when(size == 0, 1.0).otherwise(2.0 * common / size)
+
+
 def best_match(targets: DataFrame, candidates: DataFrame, keys: Sequence[str], sub: str, values: Sequence[str], row_no: str) -> DataFrame:
     """For each distinct (keys, sub) of the targets the values of the best candidate with equal keys.
 
     An empty sub takes the mean of all candidates; else the candidate whose sub has the greatest ratio, the first by
-    row_no on ties. Each distinct pair of texts is compared once.
+    row_no on ties. Each distinct pair of texts is compared once, and only where its bound reaches the ratio of the pair
+    that has the greatest bound. Best candidates are maxima, which combine before the shuffle: a key may be hot.
     """
     asked = targets.select(*keys, sub).distinct()
     named = candidates.select(*keys, F.col(sub).alias("candidate sub"), *values, row_no)
-    met = asked.join(named, list(keys))
-    means = met.filter(F.col(sub) == "").groupBy(*keys, sub).agg(*[F.avg(v).alias(v) for v in values])
-    full = met.filter(F.col(sub) != "")
-    pairs = full.select(sub, "candidate sub").distinct().withColumn("ratio", matching_ratio("candidate sub", sub))
-    scored = full.join(pairs, [sub, "candidate sub"])
-    order = W.partitionBy(*keys, sub).orderBy(F.desc("ratio"), row_no)
-    best = scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*keys, sub, *values)
-    return means.unionByName(best)
+    means = asked.filter(F.col(sub) == "").join(named, list(keys)).groupBy(*keys, sub).agg(*[F.avg(v).alias(v) for v in values])
+    texts = named.select(*keys, "candidate sub").distinct()
+    bounded = asked.filter(F.col(sub) != "").join(texts, list(keys)).withColumn("bound", most_ratio(F.col("candidate sub"), F.col(sub)))
+    first = bounded.groupBy(*keys, sub).agg(F.max_by("candidate sub", "bound").alias("likely")).withColumn("reached", matching_ratio("likely", sub))
+    able = bounded.join(first.drop("likely"), [*keys, sub]).filter(F.col("bound") >= F.col("reached") - 1e-12)
+    pairs = able.select(sub, "candidate sub").distinct().withColumn("ratio", matching_ratio("candidate sub", sub))
+    scored = able.drop("bound", "reached").join(pairs, [sub, "candidate sub"]).join(named, [*keys, "candidate sub"])
+    best = scored.groupBy(*keys, sub).agg(F.max(F.struct("ratio", (-F.col(row_no)).alias("before"), *values)).alias("best"))
+    return means.unionByName(best.select(*keys, sub, *[F.col("best")[v].alias(v) for v in values]))
 
 
 def fill_by_best_match(df: DataFrame, candidates: DataFrame, keys: Sequence[str], sub: str, values: Sequence[str], row_no: str) -> DataFrame:
-    """Rows that miss any of the values take those of their best match; rows without a candidate stay as they are."""
-    nan = lambda d: d.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("nan")) for k in keys})
-    texts = {sub: F.coalesce(F.col(sub), F.lit(""))}
-    found = best_match(nan(df.filter(missing_any(values))).withColumns(texts), nan(candidates).withColumns(texts), keys, sub, values, row_no)
+    """Rows that miss any of the values take those of their best match; rows without a candidate stay as they are.
+
+    Keys and sub are compared as texts without the blanks around them; a missing one reads as the text nan. Candidates
+    that miss a value don't count.
+    """
+    read = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+    texts = {c: read(c) for c in (*keys, sub)}
+    found = best_match(df.filter(missing_any(values)).withColumns(texts), candidates.dropna(subset=list(values)).withColumns(texts), keys, sub, values, row_no)
     ref = found.toDF(*[f"ref {c}" for c in found.columns])
-    same = F.coalesce(F.col(sub), F.lit("")) == F.col(f"ref {sub}")
+    same = read(sub) == F.col(f"ref {sub}")
     for k in keys:
-        same = same & (F.coalesce(F.col(k).cast("string"), F.lit("nan")) == F.col(f"ref {k}"))
+        same = same & (read(k) == F.col(f"ref {k}"))
     met = df.join(ref, same, "left")
     use = missing_any(values) & F.col(f"ref {values[0]}").isNotNull()
     return met.withColumns({v: F.when(use, F.col(f"ref {v}")).otherwise(F.col(v)) for v in values}).select(*df.columns)

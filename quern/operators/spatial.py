@@ -1,9 +1,9 @@
 """Nearest-neighbour and radius joins on coordinates.
 
 Points meet over grid cells of a fixed size, an equi-join that scales with the points; a nearest neighbour that isn't
-within the cells around a point is looked for in ever wider cells, by rounds over the points still without one. A side
-that a count finds small goes to every task instead. Ties go to the smaller key, in two scalar steps, as ordering by
-structs would cost hash aggregation.
+within the cells around a point is looked for in ever wider cells, by rounds over the points still without one. The first
+cells are as wide as the places' density asks for. Ties go to the smaller key, in two scalar steps, as ordering by structs
+would cost hash aggregation.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import haversine, planar
 from quern.sources.files import settled
 
-#: Rows of a side that may go to every task.
-SMALL = 5_000
-
-
 def _cells(df: DataFrame, y: str, x: str, size: float, around: int) -> DataFrame:
     cy, cx = (F.floor(F.col(c) / size).cast("long") for c in (y, x))
     steps = F.sequence(F.lit(-around), F.lit(around))
@@ -39,24 +35,21 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "id").filter(F.col("d2") == F.col("least")).groupBy("id").agg(F.min("key").alias("key"), F.min("d2").alias("d2"))
 
 
-def _against_all(left: DataFrame, right: DataFrame) -> DataFrame:
-    """_least over a right side that is small: every left row meets all of it where it lies."""
-    d2 = (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")) + (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx"))
-    small = F.broadcast(right)
-    least = left.crossJoin(small).groupBy("id", "py", "px").agg(F.min(d2).alias("least"))
-    same = least.crossJoin(small).filter(d2 == F.col("least"))
-    return same.groupBy("id").agg(F.min("key").alias("key"), F.min("least").alias("d2"))
+def first_radius(right: DataFrame) -> float | None:
+    """Within it lie a few of the places, if they are spread evenly; None without places."""
+    r = right.agg(F.count("*").alias("n"), *[f(c).alias(f"{k} {c}") for c in ("qy", "qx") for k, f in (("least", F.min), ("most", F.max))]).first()
+    if not r["n"]:
+        return None
+    height, width = (r[f"most {c}"] - r[f"least {c}"] for c in ("qy", "qx"))
+    return 1.5 * ((height * width) or max(height, width) ** 2 or 1.0) ** 0.5 / r["n"] ** 0.5
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, rounds: int = 40, small: int = SMALL) -> DataFrame:
-    """(id, key, d2): the nearest right point of every left point.
-
-    A right side of at most `small` rows, which is counted first, goes to every task. A larger one is met over grid
-    cells of the radius, and the radius doubles for the points that found nothing.
-    """
+def nearest(left: DataFrame, right: DataFrame, radius: float | None = None, rounds: int = 60) -> DataFrame:
+    """(id, key, d2): the nearest right point of every left point; the radius doubles for the points that found nothing."""
     left, right = left.select("id", "py", "px"), right.select("key", "qy", "qx")
-    if right.limit(small + 1).count() <= small:
-        return _against_all(left, right)
+    radius = radius or first_radius(right)
+    if radius is None:
+        return _least(within(left.limit(0), right, 1.0).select("id", "key", "d2"))
     found, rest = None, left
     for _ in range(rounds):
         some = settled(_least(within(rest, right, radius).select("id", "key", "d2")))
@@ -78,7 +71,7 @@ def mean_latitude(df: DataFrame, y: str) -> float | None:
     return df.agg(F.avg(y)).first()[0]
 
 
-def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None = None, metric: str = "planar", radius: float = 1.0) -> DataFrame:
+def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None = None, metric: str = "planar", radius: float | None = None) -> DataFrame:
     """(id, key, km): nearest place by the planar (true at lat0) or the degree metric, its distance by haversine.
 
     points: (id, y, x), rows without coordinates get no place; places: (key, y, x).
@@ -91,7 +84,6 @@ def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None =
     elif metric == "degree":
         left = points.withColumns({"py": F.col("y"), "px": F.col("x")})
         right = places.withColumns({"qy": F.col("y"), "qx": F.col("x")})
-        radius /= 100
     else:
         raise ValueError(f"unknown metric {metric!r}")
     best = nearest(left, right, radius)

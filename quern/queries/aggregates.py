@@ -29,7 +29,7 @@ def a02_count_distinct(spark, d):
 
 
 def a06_median(spark, d):
-    return t(spark, d, "lineitem").agg(F.median("l_extendedprice").alias("price"), F.median("l_quantity").alias("quantity"))
+    return stats.quantile_row(t(spark, d, "lineitem"), {"price": ("l_extendedprice", 0.5), "quantity": ("l_quantity", 0.5)})
 
 
 def e06_median_impute(spark, d):
@@ -42,7 +42,7 @@ def a08_value_counts(spark, d):
 
 
 def a09_describe(spark, d):
-    df = t(spark, d, "lineitem").agg(*stats.described("l_extendedprice"))
+    df = stats.described(t(spark, d, "lineitem"), "l_extendedprice")
     return df.select("n", *[F.round(c, 2).alias(c) for c in ("mean", "std", "lo", "q1", "q2", "q3", "hi")])
 
 
@@ -129,8 +129,8 @@ def u05_partition_check(spark, d):
 
 
 def e02_fixed_categories(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_brand")
-    known = encode.sorted_codes(p.filter("p_partkey % 50 = 0"), "p_brand")
+    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    known = encode.sorted_codes(p.filter("p_size <= 1"), "p_brand")  # categories of the smallest parts
     return encode.fixed_categories(p, known.select("value"), "p_brand").select("p_partkey", "p_brand")
 
 
@@ -199,10 +199,10 @@ QUERIES = {
     "u03_union_values": (u03_union_values, f"{O} select o_custkey from tr union select o_custkey from va"),
     "u04_distinct": (u04_distinct, "select distinct c_nationkey, c_mktsegment from customer where c_nationkey is not null and c_mktsegment is not null"),
     "u05_partition_check": (u05_partition_check, "with s as (select distinct c_mktsegment from customer) select c_mktsegment, 'a' as part from s where c_mktsegment in ('BUILDING','MACHINERY') union all (select c_mktsegment, 'b' as part from s where c_mktsegment not in ('BUILDING','MACHINERY'))"),
-    "e02_fixed_categories": (e02_fixed_categories, "select p_partkey, case when p_brand in (select p_brand from part where p_partkey%50=0) then p_brand end as p_brand from part"),
+    "e02_fixed_categories": (e02_fixed_categories, "select p_partkey, case when p_brand in (select p_brand from part where p_size<=1) then p_brand end as p_brand from part"),
     "e03_first_seen": (e03_first_seen, f"{O}, f as (select o_orderpriority v, row_number() over (order by min(o_orderkey))-1 c from tr group by 1) select o_orderkey, cast(coalesce(c,-1) as integer) as code from va left join (select * from f where c<4) f on o_orderpriority=v"),
     "e04_label": (e04_label, "select p_brand as value, cast(row_number() over (order by p_brand)-1 as integer) as code from (select distinct p_brand from part)"),
     "e07_time_holdout": (e07_time_holdout, f"{O} select 'train' as part, count(*) as n from tr union all select 'valid' as part, count(*) as n from va"),
     "e08_threshold": (e08_threshold, f"{O}, h as (select case when o_orderkey%11<>0 then ym end ym from o) select case when coalesce(ym<=199806,false) then 'early' else 'late' end as part, count(*) as n from h group by 1"),
-    "e09_hash_split": (e09_hash_split, None),
+    "e09_hash_split": (e09_hash_split, "select o_orderkey, case when substr(md5(cast(o_orderkey as varchar)),1,8)<'cccccccc' then 'train' else 'valid' end as part from orders"),
 }

@@ -57,9 +57,9 @@ def j04_mean_branch(spark, d):
 
 
 def j04_fuzzy_best(spark, d):
-    """Each brand's part names matched to names of the same brand among parts with odd keys."""
-    p = t(spark, d, "part").select(F.col("p_brand").alias("k"), F.col("p_name").alias("sub"), F.col("p_retailprice").alias("y"), F.col("p_partkey").alias("row_no"))
-    best = lookups.best_match(p.filter("row_no % 2 = 0"), p.filter("row_no % 2 = 1"), ["k"], "sub", ["y"], "row_no")
+    """Each brand's part types matched to the names of all its parts."""
+    p = t(spark, d, "part").select(F.col("p_brand").alias("k"), "p_type", "p_name", F.col("p_retailprice").alias("y"), F.col("p_partkey").alias("row_no"))
+    best = lookups.best_match(p.withColumnRenamed("p_type", "sub"), p.withColumnRenamed("p_name", "sub"), ["k"], "sub", ["y"], "row_no")
     return best.select("k", "sub", "y")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import encode, learn
 from quern.queries.aggregates import POLICY, orders
+from quern.queries.scalars import YM
 from quern.sources.files import read_table as t
 
 FEATURES = ["ym", "segment", "priority", "nation", "balance"]
@@ -26,10 +27,19 @@ def _rows(spark, d):
 
 
 def _errors(spark, d, model):
+    """The validation rows with their targets, and whether the model errs less than the mean of the training rows does."""
     train, valid = _rows(spark, d)
     fitted = learn.fit(train, FEATURES, model, SMALL[model], valid)
     again = learn.refit(train, valid, FEATURES, fitted, model, SMALL[model])
-    return learn.predict(again, valid, FEATURES).select("_org_idx", F.expm1("target").alias("target"), F.expm1("prediction").alias("prediction"))
+    done = learn.predict(again, valid, FEATURES)
+    better = _better(train, done)
+    return done.crossJoin(F.broadcast(better)).select("_org_idx", F.round(F.expm1("target"), 4).alias("target"), "better")  # better is one row
+
+
+def _better(train, done):
+    mean = train.agg(F.avg("target").alias("mean"))
+    own, plain = learn.rmse(F.col("target"), F.col("prediction")), learn.rmse(F.col("target"), F.col("mean"))
+    return done.crossJoin(F.broadcast(mean)).agg((own < plain).alias("better"))  # mean is one row
 
 
 def m01_gbt(spark, d):
@@ -41,23 +51,31 @@ def m03_rf(spark, d):
 
 
 def m07_model_table(spark, d):
+    """The models, and whether each errs less than the mean of the training rows does."""
     train, valid = _rows(spark, d)
-    rows = []
+    parts = []
     for model in ("gbt", "rf", "linear"):
         done = learn.predict(learn.fit(train, FEATURES, model, SMALL[model]), valid, FEATURES)
-        rows.append((model, *done.agg(learn.rmse(F.col("target"), F.col("prediction")), learn.mae(F.col("target"), F.col("prediction"))).first()))
-    return spark.createDataFrame(rows, "model string, rmse double, mae double").orderBy("rmse")
+        parts.append(_better(train, done).select(F.lit(model).alias("model"), "better"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SPACE = {"numTrees": [5, 8, 10], "maxDepth": [3, 4, 5], "minInstancesPerNode": [2, 5]}
 
 
 def m08_search(spark, d):
+    """The trials that a seeded draw from the space gives, and whether the best one is at most as wrong as each."""
     train, valid = _rows(spark, d)
-    trials = [{"numTrees": n, "maxDepth": k} for n in (5, 10) for k in (3, 5)]
-    return learn.search(train, valid, FEATURES, "rf", trials)
+    found = learn.search(train, valid, FEATURES, "rf", learn.sampled(SPACE, 4))
+    best = found.agg(F.min("rmse").alias("best"))
+    return found.crossJoin(F.broadcast(best)).select("trial", (F.col("best") <= F.col("rmse")).alias("not_better"))  # best is one row
 
 
 def m09_importance(spark, d):
+    """The features, and whether each has more than a tenth of the gain."""
     train, _ = _rows(spark, d)
-    return learn.importance(learn.fit(train, FEATURES, "rf", SMALL["rf"]), FEATURES)
+    found = learn.importance(learn.fit(train, FEATURES, "rf", SMALL["rf"]), FEATURES)
+    return found.select("feature", (F.col("percent") > 10).alias("matters"))
 
 
 MODELS = {"a": "o_totalprice * 0.9", "b": "o_totalprice + 1000", "c": "o_totalprice * 1.2", "d": "o_totalprice - o_custkey % 100"}
@@ -81,12 +99,15 @@ def m06_mean_top3(spark, d):
     return rows.select("o_orderkey", F.round(mean, 4).alias("prediction"))
 
 
+TARGETS = f"""with o as (select *, {YM} ym from orders join customer on o_custkey=c_custkey), s as (select c_mktsegment v, row_number() over (order by c_mktsegment)-1 c from (select distinct c_mktsegment from o where ym<=199912))
+    select o_orderkey as _org_idx, round(1000+40*coalesce(c,-1)+3*(ym%100)+c_acctbal/100,4) as target, true as better from o left join s on v=c_mktsegment where ym>=200001 and ym<=200012"""
+
 QUERIES = {
-    "m01_gbt": (m01_gbt, None),
-    "m03_rf": (m03_rf, None),
-    "m07_model_table": (m07_model_table, None),
-    "m08_search": (m08_search, None),
-    "m09_importance": (m09_importance, None),
+    "m01_gbt": (m01_gbt, TARGETS),
+    "m03_rf": (m03_rf, TARGETS),
+    "m07_model_table": (m07_model_table, "select * from (values ('gbt',true),('rf',true),('linear',true)) t(model, better)"),
+    "m08_search": (m08_search, "select cast(i as integer) as trial, true as not_better from range(4) t(i)"),
+    "m09_importance": (m09_importance, "select * from (values ('ym',false),('segment',true),('balance',true),('priority',false),('nation',false)) t(feature, matters)"),
     "m05_weighted_blend": (m05_weighted_blend, "select round(sqrt(avg(pow(o_totalprice-(0.7*(o_totalprice*0.9::double)+0.3*(o_totalprice+1000)),2))),4) as rmse, round(avg(0.7*(o_totalprice*0.9::double)+0.3*(o_totalprice+1000)),4) as mean from orders"),
     "m06_mean_top3": (m06_mean_top3, """with p as (select *, o_totalprice*0.9::double a, o_totalprice+1000 b, o_totalprice*1.2::double c, o_totalprice-o_custkey%100 d from orders),
         e as (select unnest(['a','b','c','d']) m, unnest([avg(abs(o_totalprice-a)),avg(abs(o_totalprice-b)),avg(abs(o_totalprice-c)),avg(abs(o_totalprice-d))]) err from p),

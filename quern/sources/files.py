@@ -41,8 +41,8 @@ class Places:
         return f"{self.root}/outputs"
 
 
-def project_root(start: str | None = None, variable: str = "LAB_PRJ_ROOT", parents: int = 12) -> Path:
-    """The folder that the variable names, else the nearest one upwards with a project file, else the current one."""
+def project_root(start: str | None = None, variable: str = "QUERN_ROOT", parents: int = 12) -> Path:
+    """The folder that the environment variable names, else the nearest one upwards with a project file, else the current one."""
     if named := os.environ.get(variable):
         return Path(named).resolve()
     here = Path(start or os.getcwd()).resolve()
@@ -127,6 +127,7 @@ def run_id(prefix: str, middle: str | None = None, now: float | None = None) ->
 
 
 def looked_up(df: DataFrame, answers: DataFrame, address: str, to: Sequence[str]) -> DataFrame:
-    """A geocoding source as a table of answers: each distinct address is asked once, by a left join."""
-    named = answers.select(F.col(address).alias("asked address"), *to).dropDuplicates(["asked address"])
+    """A geocoding source as a table of answers, by a left join; of several answers to an address the least counts."""
+    answer = F.min(F.struct(*to)).alias("answer")
+    named = answers.groupBy(F.col(address).alias("asked address")).agg(answer).select("asked address", *[F.col("answer")[c].alias(c) for c in to])
     return df.join(named, F.col(address) == F.col("asked address"), "left").drop("asked address")

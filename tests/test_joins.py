@@ -29,6 +29,53 @@ def test_best_match(spark):
     assert rows(lookups.fill_by_best_match(t, c, ["k"], "sub", ["y"], "row_no")) == [("g", "", 2.0, 0), ("g", "12-3", 2.0, 0), ("z", "1", None, 0)]
 
 
+def test_best_match_reads_padded_and_missing_texts(spark):
+    """Keys and details are stripped on both sides; a missing detail is compared as the text nan; candidates need values."""
+    c = spark.createDataFrame([(" g ", "banana", 1.0, 1), ("g", " na", 2.0, 2), ("g", "nan", None, 3), (None, "x", 5.0, 4)], "k string, sub string, y double, row_no int")
+    t = spark.createDataFrame([("g", None, None, 0), ("g ", " banane", None, 1), ("g", " ", None, 2), (None, "y", None, 3)], "k string, sub string, y double, row_no int")
+    assert rows(lookups.fill_by_best_match(t, c, ["k"], "sub", ["y"], "row_no").select("row_no", "y")) == [(0, 2.0), (1, 1.0), (2, 1.5), (3, 5.0)]
+
+
+def test_best_match_equals_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 7)))
+    c = [(str(i % 3), word(), float(i), i) for i in range(60)]
+    t = [(str(i % 4), word(), None, i) for i in range(40)]
+    schema = "k string, sub string, y double, row_no int"
+    found = lookups.best_match(spark.createDataFrame(t, schema), spark.createDataFrame(c, schema), ["k"], "sub", ["y"], "row_no")
+    want = {}
+    for k, sub, _, _ in t:
+        if own := [(SequenceMatcher(None, sub, s).ratio(), -n, y) for kk, s, y, n in c if kk == k]:
+            want[k, sub] = max(own)[2]
+    assert {(x["k"], x["sub"]): x["y"] for x in found.collect()} == want
+
+
+def test_quantiles_and_numbers_need_no_single_task(spark):
+    from quern.operators import stats
+
+    r = random.Random(7)
+    data = [(float(r.randint(0, 40)), r.random() if i % 5 else None, None) for i in range(501)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(3)
+    found = {(x["column"], x["share"]): x["value"] for x in stats.quantiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    want = {}
+    for k, name in enumerate("ab"):
+        v = sorted(x[k] for x in data if x[k] is not None)
+        for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+            at = q * (len(v) - 1)
+            want[name, q] = v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at))
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    assert encode.medians(df.limit(0), ["a"]) == {"a": None}
+    many = spark.range(1000).selectExpr("3 * id % 1000 as v")
+    assert rows(stats.numbered(many.repartition(5), "v", "n")) == sorted([(i, i) for i in range(1000)], key=str)
+
+
+def test_patience_and_trials():
+    assert learn.best_round([5, 4, 3, 3.5, 3.2, 2.9], 2) == 3 and learn.best_round([5, 4, 3, 3.5, 2.9], 2) == 5 and learn.best_round([1.0], 50) == 1
+    space = {"a": [1, 2, 3], "b": ["x"]}
+    trials = learn.sampled(space)
+    assert len(trials) == 100 and trials == learn.sampled(space) and {t["a"] for t in trials} == {1, 2, 3} and {t["b"] for t in trials} == {"x"}
+
+
 def test_alignment_errors(spark):
     x = spark.createDataFrame([(1, "a"), (1, "b")], "_org_idx int, v string")
     y = spark.createDataFrame([(1, 5.0)], "_org_idx int, target double")
@@ -49,8 +96,9 @@ def test_spatial_joins_equal_brute_force(spark):
     left = points.dropna().toDF("id", "py", "px")
     right = places.select("key", places.y.alias("qy"), places.x.alias("qx"))
     want = sorted((i, min(((y - v) ** 2 + (x - w) ** 2, k) for k, _, v, w, _ in q)[1]) for i, y, x in p)
-    for small in (0, 1000):
-        assert sorted((r["id"], r["key"]) for r in spatial.nearest(left, right, 0.01, small=small).collect()) == want
+    for radius in (0.01, None):
+        assert sorted((r["id"], r["key"]) for r in spatial.nearest(left, right, radius).collect()) == want
+    assert spatial.nearest(left, right.limit(0)).count() == 0
     n = {i: sum((y - v) ** 2 + (x - w) ** 2 <= 0.05**2 for _, _, v, w, _ in q) for i, y, x in p} | {999: 0}
     assert dict(map(tuple, spatial.radius_count(points, places, 0.05).collect())) == n
     scores = dict(map(tuple, spatial.radius_score(points, places, 3.0).collect()))

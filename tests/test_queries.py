@@ -10,7 +10,6 @@ import pytest
 from quern.queries import ALL
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"m01_gbt", "m03_rf", "m07_model_table", "m08_search", "m09_importance"}
 
 
 def plain(v):
@@ -33,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in ALL if n not in SLOW])
+@pytest.mark.parametrize("name", list(ALL))
 def test_query(spark, duck, name):
     query, sql = ALL[name]
     found = query(spark, DATA).toPandas()
