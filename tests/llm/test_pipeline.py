@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from quern.llm import common, decontamination, neardup, quality
 from quern.llm.queries import oracle_sql, queries
@@ -45,3 +48,19 @@ def test_registered():
     names = queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
     assert set(oracle_sql()) <= set(names)
+
+
+def plain(v):
+    missing = v is None or str(v) in ("nan", "<NA>")
+    return None if missing else round(float(v), 9) if hasattr(v, "__float__") and not isinstance(v, str) else v
+
+
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_sql_gives_the_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    found, want = queries()[name](spark, DATA).toPandas(), con.sql(oracle_sql()[name]).df()
+    assert sorted(found.columns) == sorted(want.columns)
+    rows = [sorted(([plain(v) for v in r] for r in df[sorted(found.columns)].astype(object).itertuples(index=False)), key=str) for df in (found, want)]
+    assert rows[0] == rows[1]
