@@ -212,6 +212,9 @@ def test_bounds_of_edit_distance():
         i, j = lines.ends_alike(a, b)
         assert a[:i] == b[:i] and a[len(a) - j :] == b[len(b) - j :]
         assert distance(a, b) == distance(a[i : len(a) - j], b[i : len(b) - j]) <= lines.apart_at_most(a, b)
+        assert lines.edit_distance(a, b, 99) == distance(a, b)
+        for most in range(4):
+            assert (lines.edit_distance(a, b, most) <= most) == (distance(a, b) <= most)
 
 
 def test_lines_exactly_at_the_threshold(spark):
