@@ -207,27 +207,21 @@ def string_rows(met: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, tasks: int, common: set[int] | None, name: str) -> DataFrame:
-    """Sorts the rows by rank: (doc, place) of positions that go, and with -place - 1 of runs that round 3 looks at.
+    """Sorts the rows by rank in Spark: (doc, place) of positions that go, and with -place - 1 of runs that round 3 looks at.
 
-    common: 32-byte names that aren't dealt by name; None in round 3, where nothing goes on.
+    common: 32-byte names that aren't dealt by name; None in round 3, where nothing goes on. A task reads its sorted rows
+    batch by batch and holds those of one 32-byte name at most, of a common one none.
     """
     by_run = F.col("x").isin(sorted(common)) if common else F.lit(False)
     by = [F.when(by_run, F.col("y")).otherwise(F.col("x"))] if common is not None else [F.col("x"), F.col("y")]
     known = np.array(sorted(common or ()), np.int64)
+    plain = (lambda p: p) if common is None else (lambda p: unpacked(p)[0] * RUN + unpacked(p)[2])
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not parts:
-            return
-        x, y, doc, place = (np.concatenate(c) for c in zip(*parts))
-        gone = place < 0
-        plain = (lambda p: p) if common is None else (lambda p: unpacked(p)[0] * RUN + unpacked(p)[2])
-        out = [(doc[gone], plain(-place[gone] - 1))]
-        x, y, doc, place = (c[~gone] for c in (x, y, doc, place))
-        order = np.lexsort((place, doc, y, x))
-        x, y, doc, place = (c[order] for c in (x, y, doc, place))
+    def told(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, before: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
         first = firsts(x, y)
-        out.append((doc[~first], plain(place[~first])))
+        if before is not None and len(x):
+            first[0] = (x[0], y[0]) != before
+        out = [(doc[~first], plain(place[~first]))]
         if common is not None:
             x, doc = x[first], doc[first]
             start, offset, count, left, right = unpacked(place[first])
@@ -237,11 +231,33 @@ def ranked(rows: DataFrame, tasks: int, common: set[int] | None, name: str) -> D
             for side, s, n in ((left, start, n_left), (right, start + n_left, count - n_left)):
                 go_on = (repeated_with(x, side) | every) & (n > 0)
                 out.append((doc[go_on], -(s[go_on] * RUN + n[go_on]) - 1))
-        doc, place = (np.concatenate(c) for c in zip(*out))
-        for k in range(0, len(doc), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in (doc, place)], ["doc", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["doc", "place"])
 
-    found = saved(rows.repartition(tasks, *by).mapInArrow(sort, "doc long, place long"), name)
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            gone = columns[3] < 0
+            if gone.any():
+                yield pa.RecordBatch.from_arrays([pa.array(columns[2][gone]), pa.array(plain(-columns[3][gone] - 1))], ["doc", "place"])
+            columns = [c[~gone] for c in columns]
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            x = columns[0]
+            if not len(x):
+                continue
+            # the last name's rows wait for those to come, unless they need none of each other
+            waits = 0 if common is None or np.isin(x[-1:], known)[0] else len(x) - int(np.searchsorted(x, x[-1]))
+            ready = len(x) - waits
+            held = [c[ready:] for c in columns]
+            if ready:
+                yield from told(*(c[:ready] for c in columns), before)
+                before = (int(x[ready - 1]), int(columns[1][ready - 1]))
+        if held is not None and len(held[0]):
+            yield from told(*held, before)
+
+    dealt = rows.repartition(tasks, *by).sortWithinPartitions("x", "y", "doc", "place")
+    found = saved(dealt.mapInArrow(sort, "doc long, place long"), name)
     let_go(rows.sparkSession)
     return found
 

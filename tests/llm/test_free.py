@@ -51,6 +51,30 @@ def test_substrings(spark, docs, empty):
     assert substrings.deduplicated(empty).count() == 0
 
 
+def test_substrings_over_segments_and_in_many_documents(spark):
+    """A text of more than one segment with repeats across its border, and a passage that hundreds of documents say amid
+    other words, by all strings' own hashes."""
+    r = random.Random(21)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    border, passage = substrings.SEGMENT, letters(150)
+    text = letters(border + 60_000)
+    text = text[: border - 150] + text[1000:1300] + text[border + 150 :]
+    rows = [(1, text), (2, letters(50) + text[border - 120 : border + 130]), *((i, letters(90) + passage[i % 7 :] + letters(90)) for i in range(3, 303))]
+    seen, want = set(), {}
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, np.int32)
+        for k in range(len(b) - 99):
+            h = hash(b[k : k + 100])
+            if h in seen:
+                gone[k] += 1
+                gone[k + 100] -= 1
+            seen.add(h)
+        want[i] = int((np.cumsum(gone) > 0).sum())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["n_removed"] for x in substrings.deduplicated(df).collect()} == want and want[1] == 300 and want[2] > 200 and want[302] > 140
+
+
 def test_runs_stand_for_all_strings():
     text = np.frombuffer((prose(9, 300) + "ab" * 200).encode(), np.uint8)
     start, offset, count, _, _ = substrings.unpacked(substrings.runs_of(text)[2])
