@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters outside this class.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -77,22 +78,32 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def with_own_ids(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column: doc_id where one row alone has it, else (several rows, or null) a hash of the row, 2^62 or more,
-    so that it comes after usual ids. Rows that are equal in all columns are one row first."""
+def identified(docs: DataFrame) -> DataFrame:
+    """d (a struct of all columns, so that their names clash with nothing) and own: the doc_id where one row alone has it, else
+    (several rows, or null) a hash of the row, 2^62 or more, so that it comes after usual ids. Rows that are equal in all
+    columns are one row first."""
     counted = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     shared = saved(counted.select(F.col("doc_id").alias("shared id")), "shared-ids")
-    own = F.col("doc_id").cast("long")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    doc_id = F.col("d")["doc_id"]
     if shared.isEmpty():
-        return docs.withColumn(name, own)
-    same = docs["doc_id"].eqNullSafe(shared["shared id"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+        return held.select("d", doc_id.cast("long").alias("own"))
+    same = doc_id.eqNullSafe(F.col("shared id"))
+    maps = {f.name for f in docs.schema if isinstance(f.dataType, T.MapType)}
+    columns = [F.array_sort(F.map_entries(F.col("d")[c])) if c in maps else F.col("d")[c] for c in docs.columns]
     hashed = F.xxhash64(*columns, *[c.isNull() for c in columns]).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
-    of_their_own = docs.join(shared, same, "left_anti").withColumn(name, own)
-    rows = docs.join(shared, same, "left_semi").withColumn(name, hashed).dropDuplicates([name])
-    alone = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(name).alias("alone")).filter("n = 1").select("alone")
-    named = rows.join(alone, rows[name] == alone["alone"], "left").withColumn(name, F.when(F.col("alone").isNotNull(), own).otherwise(F.col(name)))
-    return of_their_own.unionByName(named.drop("alone"))
+    of_their_own = held.join(shared, same, "left_anti").select("d", doc_id.cast("long").alias("own"))
+    rows = held.join(shared, same, "left_semi").withColumn("own", hashed).dropDuplicates(["own"])
+    ids = rows.filter(doc_id.isNotNull()).groupBy(doc_id.alias("id")).agg(F.count("*").alias("n"), F.min("own").alias("alone"))
+    named = rows.join(ids.filter("n = 1").select("alone"), F.col("own") == F.col("alone"), "left")
+    return of_their_own.unionByName(named.select("d", F.when(F.col("alone").isNotNull(), doc_id.cast("long")).otherwise(F.col("own")).alias("own")))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def tasks_for(df: DataFrame, each: int) -> int:

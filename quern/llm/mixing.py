@@ -13,8 +13,8 @@ buckets as the square root of the number of rows), slots are dealt out in chunks
 
 Defined cases: a null text has size 0; a null source is a source like others and sorts last; documents and sources
 of size 0 take 0; in `mix` repeated rows, and rows that share a doc_id or have none, count each on its own, in the other two
-rows that are equal in all columns are one; texts of any length are taken apart once; columns whose names clash with the
-operator's own are kept, as those have blanks in their names; an empty table gives an empty result. Equal input rows
+rows that are equal in all columns are one; texts of any length are taken apart once; columns with other
+names are kept or left aside, whatever their names; an empty table gives an empty result. Equal input rows
 give equal results whatever the partitioning.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_CLASS, WORD_CLASS, let, n_words, saved, table, with_own_ids, words
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, identified, let, n_words, saved, table, words
 
 BLOCK = 128
 SHARD_SLOTS = 1024
@@ -162,12 +162,12 @@ def pieces(placed: DataFrame, dealt: DataFrame, block: int = BLOCK) -> DataFrame
 def sharded(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The mix: shard, place (from 0 in the shard), source, n_words and text of every slot. Blocks are packed once, of the
     words of the documents that they span, and joined to the slots that name them."""
-    docs = with_own_ids(docs, "own id")
-    sized = saved(docs.select(F.col("own id").alias("doc_id"), "source", n_words(F.col(f"`{text}`")).alias("size")), "sizes")
+    held = identified(docs)
+    sized = saved(held.select(F.col("own").alias("doc_id"), "d.source", n_words(F.col("d")[text]).alias("size")), "sizes")
     sources = saved(targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), weights), "sources")
     dealt = slots(sources, block, seed, shard_slots)
     placed = offsets(sized, sources).filter("size > 0").select("rank", F.col("doc_id").alias("placed id"), "size", "offset")
-    met = docs.select("own id", words(F.col(f"`{text}`")).alias("words")).join(placed, F.col("own id") == F.col("placed id"))
+    met = held.select("own", words(F.col("d")[text]).alias("words")).join(placed, F.col("own") == F.col("placed id"))
     first, last = (F.floor(x / block).cast("long") for x in (F.col("offset"), F.col("offset") + F.col("size") - 1))
 
     def part(i: Column) -> Column:
@@ -207,9 +207,9 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
 
     Rows without doc_id, or with one that several rows have, are documents of their own; equal rows are one.
     """
-    names = docs.columns
-    docs = with_own_ids(docs, "own id")
-    sources, found = planned(docs.select(F.col("own id").alias("doc_id"), "source", F.col(f"`{text}`")), block, seed, text, weights)
+    held = identified(docs)
+    said = F.col("d")[text]
+    sources, found = planned(held.select(F.col("own").alias("doc_id"), "d.source", said.alias(text)), block, seed, text, weights)
     passes = sources.select(
         "rank", F.when(F.col("size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("size"))).otherwise(0).cast("int").alias("passes")
     )
@@ -227,18 +227,18 @@ def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str =
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["b"] == r["a"]), longer).otherwise(F.concat(done, F.array(r)))
 
     takes = takes.select(F.col("doc_id").alias("mixed id"), "passes", F.aggregate("runs", none, join_run).alias("runs"))
-    met = docs.join(takes.filter((F.col("passes") > 0) | (F.size("runs") > 0)), docs["own id"] == takes["mixed id"])
-    t = F.col(f"`{text}`")
+    met = held.join(takes.filter((F.col("passes") > 0) | (F.size("runs") > 0)), F.col("own") == F.col("mixed id"))
     cut = let(
-        F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)),
+        F.regexp_extract_all(said, F.lit(PIECE), F.lit(0)),
         lambda w: F.transform("runs", lambda r: F.array_join(F.slice(w, r["a"] + 1, r["b"] - r["a"]), "")),
     )
     none_cut = F.array().cast("array<string>")
-    said = F.concat(F.array_repeat(t, F.col("passes")), F.when(F.size("runs") > 0, cut).otherwise(none_cut))
-    out = met.withColumn("mixed text", F.explode(said)).withColumn(text, F.col("mixed text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    texts = F.concat(F.array_repeat(said, F.col("passes")), F.when(F.size("runs") > 0, cut).otherwise(none_cut))
+    out = met.select("d", F.explode(texts).alias("said"))
+    row = F.col("d").withField(f"`{text}`", F.col("said"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("said").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("d")).select("d.*")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK_CLASS, WORD_CLASS, let, table
+from quern.llm.common import BLANK_CLASS, WORD_CLASS, let, table, unused
 
 #: Frequent function words of the corpus languages (English, German, French, Spanish).
 STOP_WORDS = (
@@ -148,8 +148,9 @@ def kept_only(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     A filter on the verdict alone would be pushed below the projections, with all their expressions put into it and
     evaluated again for each use; next to a column that isn't deterministic it stays above them.
     """
-    q = judged(docs, rules, text, "quality of").withColumn("quality row", F.monotonically_increasing_id())
-    return q.filter(F.col("quality of")["kept"] & (F.col("quality row") >= 0)).drop("quality of", "quality row")
+    of, row = unused(docs, "quality of"), unused(docs, "quality row")
+    q = judged(docs, rules, text, of).withColumn(row, F.monotonically_increasing_id())
+    return q.filter(F.col(f"`{of}`")["kept"] & (F.col(f"`{row}`") >= 0)).drop(of, row)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

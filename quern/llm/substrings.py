@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import let_go, saved, table, tasks_for, with_own_ids
+from quern.llm.common import identified, let_go, saved, table, tasks_for
 from quern.llm.shingles import mix
 
 THRESHOLD = 100
@@ -134,9 +134,9 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(docs: DataFrame, text: str) -> DataFrame:
-    """doc (see `with_own_ids`), doc_id, and the text's bytes as body."""
-    named = with_own_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body")), "doc")
-    return named.select("doc", "doc_id", F.coalesce("body", F.lit(b"")).alias("body"))
+    """doc (own in `identified`), doc_id, and the text's bytes as body."""
+    named = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body")))
+    return named.select(F.col("own").alias("doc"), "d.doc_id", F.coalesce("d.body", F.lit(b"")).alias("body"))
 
 
 def _rows(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:

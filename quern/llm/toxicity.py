@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import dropped, saved, table
 
 SAMPLE = 20_000
 NEAR = 3
@@ -196,7 +196,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     spark = docs.sparkSession
     drawn = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic").persist()
+    known = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    known = saved(known, "labelled")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = Model()
@@ -223,7 +224,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
         order = np.lexsort([*x.T, y])  # sums in one order, whatever the partitions were
         model.weights = logistic(x[order], y[order])
-    known.unpersist()
+    dropped(known)
     return model
 
 

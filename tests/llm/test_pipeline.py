@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import common, decontamination, neardup, quality
@@ -44,6 +45,22 @@ def test_rows_without_an_id_of_their_own_stay(spark):
     assert all(any(t and t in whole for t in mixed) for whole in (one, two, three, four))
 
 
+def test_stages_on_odd_rows(spark, docs):
+    """Nulls in every column, repeated rows, a column of maps, and columns with the names that operators use themselves."""
+    names = ("d", "own", "runs", "passes", "shared id", "quality of", "said", "leaking id", "row", "rank")
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)], F.create_map(F.lit("k"), F.col("lang")).alias("m"))
+    nulls = odd.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema])
+    odd = odd.unionByName(nulls).unionByName(nulls).unionByName(odd.filter("doc_id = 13").withColumn("doc_id", F.lit(None).cast("long")))
+    for rows in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, DATA)
+            if name != "token_output":
+                assert out.columns == odd.columns
+            assert (out.count() == 0) == rows.isEmpty()
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, DATA).collect()}
+    assert {0, 1, 2, 3, 4, 12, 13} <= kept and 5 not in kept
+
+
 def test_registered():
     names = queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
