@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, and others that docs has, whatever their names.
+
+Defined cases, in every stage: rows that share a doc_id, or have none, are documents of their own; of rows that are equal in
+all columns near-dedup and mixing keep one; null and empty texts fail the quality rules, and pass the other stages as
+texts without words; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. Rows without doc_id, or with one that several rows have, are documents
     of their own, which go only as near copies; of equal rows one stays. Links are op6's, at a similarity of 0.85 (see README)."""
-    named = common.with_own_ids(docs, "own id")
-    rows = named.select(F.col("own id").alias("doc_id"), "text")
-    dropped = neardup.near_duplicates(rows).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped id")).distinct()
-    return named.join(dropped, named["own id"] == dropped["dropped id"], "left_anti").drop("own id")
+    named = common.identified(docs)
+    rows = named.select(F.col("own").alias("doc_id"), "d.text")
+    gone = neardup.near_duplicates(rows).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped id")).distinct()
+    return named.join(gone, F.col("own") == F.col("dropped id"), "left_anti").select("d.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.saved(stage(spark, docs, sf_dir), name)
+        common.dropped(before)  # where it is a stage's own table
     return STAGES[-1][1](spark, docs, sf_dir)
