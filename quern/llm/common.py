@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Beginning of the names of tables in buckets.
 TABLE = "quern_"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,29 +40,33 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def no_shuffles_kept(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a query as soon as it ends: what comes out of these is written to tables."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back: cuts the lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with no_shuffles_kept(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Collects garbage, here and in the JVM: shuffle files go when nothing refers to their shuffle."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def saved_by(df: DataFrame, key: str, tasks: int, name: str) -> DataFrame:
     """Like saved(), as a table in buckets of the key: joins on it move only their other side. df is dealt by the key already."""
     spark = df.sparkSession
     path = fresh(spark, name)
     named = TABLE + path.rpartition("-")[2]
-    df.write.option("compression", "zstd").option("path", path).bucketBy(tasks, key).sortBy(key).saveAsTable(named)
-    let_go(spark)
+    with no_shuffles_kept(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(tasks, key).sortBy(key).saveAsTable(named)
     return spark.table(named)
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import dropped, let_go, saved, saved_by, table, tasks_for
+from quern.llm.common import dropped, saved, saved_by, table, tasks_for
 from quern.llm.graphs import components
 from quern.llm.shingles import forget, mix, shingles, split
 
@@ -280,7 +280,6 @@ def bucket_members(rows: DataFrame, percent: int = 0) -> DataFrame:
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("key", "node", "size").repartition(tasks, "key").sortWithinPartitions("key", "size", "node")
     members = saved(dealt.mapInArrow(meet, "key long, node long, centre long"), "bucket-members")
-    let_go(rows.sparkSession)
     # the centres belong to their buckets too
     met = saved(members.unionByName(members.select("key", F.col("centre").alias("node"), "centre").distinct()), "buckets")
     dropped(members)
@@ -331,7 +330,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     reached = saved(reached, "reached")
     for done in (nodes, met, *made):
         dropped(done)
-    let_go(docs.sparkSession)
     ids = reached.groupBy("component").agg(F.min("least").alias("reached"))
     by_node = reached.join(ids, "component").select("node", "reached")
     own_id = F.col("doc_id")

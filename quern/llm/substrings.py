@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import identified, let_go, saved, table, tasks_for
+from quern.llm.common import identified, saved, table, tasks_for
 from quern.llm.shingles import mix
 
 THRESHOLD = 100
@@ -258,7 +258,6 @@ def ranked(rows: DataFrame, tasks: int, common: set[int] | None, name: str) -> D
 
     dealt = rows.repartition(tasks, *by).sortWithinPartitions("x", "y", "doc", "place")
     found = saved(dealt.mapInArrow(sort, "doc long, place long"), name)
-    let_go(rows.sparkSession)
     return found
 
 
