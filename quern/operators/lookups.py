@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.scalars import strip
+from quern.sources.files import settled
 
 
 def last_wins(ref: DataFrame, key: str, values: Sequence[str], order: str) -> DataFrame:
@@ -84,7 +85,7 @@ def best_match(targets: DataFrame, candidates: DataFrame, keys: Sequence[str], s
     row_no on ties. Each distinct pair of texts is compared once, and only where its bound reaches the ratio of the pair
     that has the greatest bound. Best candidates are maxima, which combine before the shuffle: a key may be hot.
     """
-    asked = targets.select(*keys, sub).distinct()
+    asked = settled(targets.select(*keys, sub).distinct())  # used several times, whatever it took to make the targets
     named = candidates.select(*keys, F.col(sub).alias("candidate sub"), *values, row_no)
     means = asked.filter(F.col(sub) == "").join(named, list(keys)).groupBy(*keys, sub).agg(*[F.avg(v).alias(v) for v in values])
     texts = named.select(*keys, "candidate sub").distinct()

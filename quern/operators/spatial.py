@@ -46,7 +46,8 @@ def first_radius(right: DataFrame) -> float | None:
 
 def nearest(left: DataFrame, right: DataFrame, radius: float | None = None, rounds: int = 60) -> DataFrame:
     """(id, key, d2): the nearest right point of every left point; the radius doubles for the points that found nothing."""
-    left, right = left.select("id", "py", "px"), right.select("key", "qy", "qx")
+    # each round reads both again
+    left, right = settled(left.select("id", "py", "px")), settled(right.select("key", "qy", "qx"))
     radius = radius or first_radius(right)
     if radius is None:
         return _least(within(left.limit(0), right, 1.0).select("id", "key", "d2"))

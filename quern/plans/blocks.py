@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
 from quern.operators import encode, lookups, spatial
+from quern.sources.files import settled
 
 
 class Block:
@@ -135,11 +136,12 @@ class Transport(Block):
 
     def transform(self, df: DataFrame, is_train: bool = False) -> DataFrame:
         y, x = self.needs[:2]
+        df = settled(df)  # each set of places reads the rows again
         points = df.select(F.col(self.row).alias("id"), F.col(y).alias("y"), F.col(x).alias("x"))
         lat0 = self.lat0 if self.lat0 is not None else spatial.mean_latitude(points, "y")
         for kind, (places, radius) in self.places.items():
             near, score = self.to[kind]
-            ready = self.weighted(places)
+            ready = settled(self.weighted(places))
             km = spatial.nearest_distance(points, ready.select("key", "y", "x").distinct(), lat0).select(F.col("id").alias(self.row), F.col("km").alias(near))
             sums = spatial.radius_score(points, ready, radius, lat0).select(F.col("id").alias(self.row), F.col("score").alias(score))
             df = df.join(km, self.row, "left").join(sums, self.row, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import to_number
 from quern.operators import encode, lookups
 from quern.plans.blocks import Pipeline
+from quern.sources.files import settled
 
 ID = "_org_idx"
 
@@ -78,6 +80,7 @@ class DatasetBuilder:
     order: str | None = None
     _raw: tuple[DataFrame, DataFrame] | None = None
     _ext: dict[str, DataFrame] | None = None
+    _features: dict[str, tuple] = field(default_factory=dict)
 
     def raw(self, use_cache: bool = True) -> tuple[DataFrame, DataFrame]:
         if not use_cache or self._raw is None:
@@ -111,24 +114,34 @@ class DatasetBuilder:
             frames = [encode.impute(f, values) for f in frames]
         return [f.withColumns({c: F.col(c).cast("short" if c in self.integers else "float") for c in numbers}) for f in frames]
 
-    def build(self, model: str = "gbt", use_cache: bool = True, split_policy: Mapping[str, object] | None = None) -> Bundle:
+    def featured(self, split_policy: Mapping[str, object] | None, use_cache: bool = True) -> tuple:
+        """Targets by part, the features of training, test and validation rows, and the fitted pipeline; with the cache, what the
+        same split gave before, for whatever model."""
+        known = json.dumps(split_policy, sort_keys=True, default=str)
+        if use_cache and known in self._features:
+            return self._features[known]
         train, test = self.raw(use_cache)
         ext = self.references(use_cache)
-        names = {k: v for k, v in self.names.items()}
-        train, test = (with_id(renamed(d, names), self.order) for d in (train, test))
+        train, test = (with_id(renamed(d, self.names), self.order) for d in (train, test))
         test = test.drop(self.target)
         valid = None
         if split_policy is not None:
             train, valid = encode.time_holdout(train, split_policy)
         y = {k: d.select(ID, F.col(self.target).cast("double").alias("target")) for k, d in (("train", train), ("valid", valid)) if d is not None}
         pipe = self.pipeline(ext)
-        x_train = pipe.fit_transform(train.drop(self.target))
-        x_test = pipe.transform(test)
-        x_valid = pipe.transform(valid.drop(self.target)) if valid is not None else None
+        # computed once: encoders and models go over them many times
+        x_train = settled(pipe.fit_transform(train.drop(self.target)))
+        x_test = settled(pipe.transform(test))
+        x_valid = settled(pipe.transform(valid.drop(self.target))) if valid is not None else None
+        self._features[known] = (y, x_train, x_test, x_valid, pipe)
+        return self._features[known]
+
+    def build(self, model: str = "gbt", use_cache: bool = True, split_policy: Mapping[str, object] | None = None) -> Bundle:
+        y, x_train, x_test, x_valid, pipe = self.featured(split_policy, use_cache)
         done = self.finalized(x_train, [d for d in (x_test, x_valid) if d is not None], model)
         keep = [ID, *self.features] if self.features is not None else [c for c in x_train.columns]
         done = [selected(d, keep) for d in done]
-        rows = {"train": done[0], "test": done[1], "valid": done[2] if valid is not None else None}
+        rows = {"train": done[0], "test": done[1], "valid": done[2] if x_valid is not None else None}
         for k in y:
             rows[k] = transformed(lookups.aligned(rows[k], y[k], ID), self.target_transform)
         meta = {"model": model, "split_policy": dict(split_policy) if split_policy else None, "target_transform": self.target_transform, "features": self.feature_meta(), "blocks": [b.name() for b in pipe.blocks]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalars as S
 from quern.operators import stats
 from quern.plans.builder import renamed, selected, with_id
+from quern.sources.files import read_csv, shared_csv
 from quern.sources.files import read_table as t
 
 YM = "year(o_orderdate) * 100 + month(o_orderdate)"
@@ -197,7 +198,14 @@ HAV_A = "(pow(sin((radians(37.5)-radians(y))/2),2)+cos(radians(y))*cos(radians(3
 TOTAL = "(case when coalesce(b0,b1,b2,b3) is not null then coalesce(b0,0)+coalesce(b1,0)+coalesce(b2,0)+coalesce(b3,0) end)"
 GAPS = f"(select c_custkey, c_nationkey, case when c_custkey%3<>0 then y end y, case when c_custkey%3<>0 then x end x from {CUSTOMER_SQL})"
 
+def s01_csv_scan(spark, d):
+    """A table through CSV: written once to the shared folder, and scanned with a schema and a header."""
+    nation = t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return read_csv(spark, shared_csv(nation, "nation"), nation.schema)
+
+
 QUERIES = {
+    "s01_csv_scan": (s01_csv_scan, "select n_nationkey, n_name, n_regionkey from nation"),
     "s01_scan_project": (s01_scan_project, "select o_orderkey as order_id, o_custkey as customer_id, o_totalprice as price from orders"),
     "s02_ext_join": (s02_ext_join, "select c_custkey, n_name, r_name from customer left join (nation join region on n_regionkey=r_regionkey) on c_nationkey=n_nationkey"),
     "s06_round_even_sink": (s06_round_even_sink, "select l_orderkey, l_linenumber, cast(round_even(l_quantity/4, 0) as bigint) as target from lineitem"),

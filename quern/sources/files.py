@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -63,16 +64,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df.withColumns({f.name: F.when(~F.col(f"`{f.name}`").isin("", "NA", "NaN", "nan", "null"), F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, T.StringType) and "." not in f.name})
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder that spark.checkpoint.dir names; where that is unset, a local session gets one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that spark.checkpoint.dir names; where that is unset, a local session gets one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_csv(df: DataFrame, name: str) -> str:
+    """df as CSV files with a header in a new place of the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.csv"
+    df.write.csv(path, header=True)
+    return path
+
+
 def cache_key(df: DataFrame, settings: dict) -> str:
     """Differs when the settings, the columns, or the files that are read differ."""
     spark = df.sparkSession

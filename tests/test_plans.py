@@ -71,6 +71,65 @@ def test_housing_to_files(spark, places, tmp_path):
     assert meta["valid_rmse"] > 0 and len(meta["features"]["numeric"]) == 30 and len(meta["features"]["categorical"]) == 11
 
 
+def test_command_line(spark, places, tmp_path, capsys):
+    from quern.plans import cli
+
+    done = cli.main(["--root", places.root, "--model", "rf", "--params", '{"rf": {"numTrees": 2, "maxDepth": 2}}', "--out", str(tmp_path)])
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["path"] == done.path and said["valid_rmse"] > 0 and glob(f"{done.path}/predictions/*.csv")
+
+
+def test_cache_of_tables_and_features(spark):
+    from quern.plans.builder import DatasetBuilder
+
+    loads = []
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "n int, v string, target double")
+
+    def load():
+        loads.append("raw")
+        return df, df.drop("target")
+
+    def ext():
+        loads.append("ext")
+        return {}
+
+    def pipeline(_):
+        loads.append("pipeline")
+        return B.Pipeline([B.FixedCategories(["v"])])
+
+    b = DatasetBuilder(load, ext, pipeline, {}, ["n", "v"], ["v"], order="n")
+    for use_cache in (True, True, False):
+        assert b.build("gbt", use_cache).train.count() == 2
+    assert loads == ["raw", "ext", "pipeline"] * 2
+
+
+def test_small_blocks_and_summaries(spark, tmp_path):
+    from quern.operators import stats
+    from quern.sources.files import looked_up, write_filled
+
+    df = spark.createDataFrame([("road", "1", 1, None), ("way", "2", 2, 3.0)], "a string, b string, n int, x double")
+    assert B.JoinedRoad(("a", "b"), "road").transform(df).select("road").first()[0] == "road 1"
+    known = B.FixedCategories(["a"]).fit(df.limit(1))
+    assert [r["a"] for r in known.transform(df).orderBy("n").collect()] == ["road", None]
+    assert stats.by_dtype(df, ["n"]) == {"time": ["n"], "numeric": ["x"], "other": ["a", "b"]}
+    assert [d.columns for d in stats.without_null_columns(df, df)] == [["a", "b", "n"]] * 2
+    write_filled(df, str(tmp_path / "filled"), "csv")
+    assert spark.read.csv(str(tmp_path / "filled"), header=True).count() == 2
+    answers = spark.createDataFrame([("1", "z"), ("1", "y")], "b string, said string")
+    assert [r["said"] for r in looked_up(df, answers, "b", ["said"]).orderBy("n").collect()] == ["y", None]
+
+
+def test_windowed_counts(spark, tmp_path):
+    from quern.streaming.scoring import windowed_counts
+
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' as at, 'a' as k union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:10:00', 'b'")
+    rows.write.parquet(str(tmp_path / "in"))
+    counts = windowed_counts(rows_of(spark, str(tmp_path / "in"), rows), "at", "k")
+    query = counts.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted((r["k"], r["n"]) for r in spark.table("counted").collect()) == [("a", 2), ("b", 1)]
+
+
 def test_state_ignores_later_rows(spark):
     train = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, v string")
     block = B.Frequencies({"v": "f"})
@@ -103,6 +162,6 @@ def test_sinks_and_names(spark, tmp_path, monkeypatch):
     a = cache_key(spark.read.parquet(str(tmp_path / "t")), {})
     df.write.mode("append").parquet(str(tmp_path / "t"))
     assert a != cache_key(spark.read.parquet(str(tmp_path / "t")), {})
-    monkeypatch.setenv("LAB_PRJ_ROOT", str(tmp_path))
+    monkeypatch.setenv("QUERN_ROOT", str(tmp_path))
     assert project_root() == tmp_path.resolve()
     assert learn.best_by(spark.createDataFrame([("a", 2.0), ("b", float("nan")), ("c", 1.0)], "model string, error double")).first()["model"] == "c"
