@@ -41,7 +41,7 @@ BATCH = 64
 END_ID = 1
 SHARD_BYTES = 32 << 20
 #: A worker keeps the pieces it met among the last CACHED to twice as many different ones, of at most LONGEST characters.
-CACHED, LONGEST = 150_000, 40
+CACHED, LONGEST = 300_000, 40
 #: Schemes by which Hadoop and Arrow call the same store.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
