@@ -6,7 +6,7 @@ all others would be too slow.
 
 from __future__ import annotations
 
-from quern.llm import chat, licenses, neardup, quality, substrings
+from quern.llm import chat, codes, licenses, neardup, quality, retrieval, substrings
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -119,6 +119,46 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_
 from docs left join sizes using (doc_id) left join least using (doc_id)"""
 
 
+def vector_codes() -> str:
+    """The width of a part is that of the tables at hand: 64 components in 16 parts."""
+    scale, entries, parts = codes.SCALE, codes.ENTRIES, codes.PARTS
+    xs = [f"x{k}" for k in range(1, 5)]
+    apart = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    # sum less its positive remainder divides evenly: the quotient rounded down
+    means = ", ".join(f"((sum(a.{x}) - (sum(a.{x}) % count(*) + count(*)) % count(*)) // count(*))::bigint as {x}" for x in xs)
+    rounds = "".join(f""",
+near{r} as (select rid, a.p, min(({apart}) * {entries} + b.k) as m from parts a join book{r} b on a.p = b.p group by rid, a.p)"""
+        + (f""",
+means{r} as (select p, m % {entries} as k, {means} from parts a join near{r} using (rid, p) group by p, m % {entries}),
+book{r + 1} as (select b.p, b.k, {", ".join(f"coalesce(n.{x}, b.{x}) as {x}" for x in xs)} from book{r} b left join means{r} n using (p, k))""" if r < codes.ROUNDS else "")
+        for r in range(codes.ROUNDS + 1))
+    return f"""
+with kept as (select row_number() over (order by vec_id) as rid, vec_id, label, list_transform(embedding, lambda x: floor(x::double * {scale})::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cuts as (select rid, unnest(range({parts})) as p, v from kept),
+parts as (select rid, p, {", ".join(f"v[4 * p + {k}] as {x}" for k, x in enumerate(xs, 1))} from cuts),
+book0 as (select p, rid - 1 as k, {", ".join(xs)} from parts where rid <= {entries}){rounds},
+coded as (select rid, string_agg(printf('%02x', (m % {entries})::int), '' order by p) as code, sum(m // {entries})::bigint as error from near{codes.ROUNDS} group by rid),
+digest as (select sha256(string_agg(concat_ws(',', {", ".join(xs)}), ',' order by p, k)) as codebooks_sha256 from book{codes.ROUNDS})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from kept join coded using (rid), digest"""
+
+
+def lexical_search() -> str:
+    terms = rf"unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{retrieval.TERM_CLASS}'))"
+    return f"""
+with said as (select doc_id, {terms} as term from documents),
+lengths as (select doc_id, count(*) as n from said group by doc_id),
+totals as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+tfs as (select doc_id, term, count(*) as tf from said group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from tfs group by term), totals),
+asked as (select item_id, {terms} as term from benchmark),
+scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from asked join weights using (term) join tfs using (term) join lengths using (doc_id), totals group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= {retrieval.K}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup(),
@@ -126,4 +166,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan(),
         "op4_chat_formatting": chat_formatting(),
         "op6_near_duplicates": near_duplicates(),
+        "op12_lexical_search": lexical_search(),
+        "op13_vector_codes": vector_codes(),
     }
