@@ -9,16 +9,18 @@ whole-number arithmetic, so that scores have no order of summation.
 2. For each term its K highest impacts are stored. An item's K-th score is at least the K-th impact of any of its terms,
    and at least the K-th score among the documents that head its terms' lists, which are scored exactly: its threshold.
 3. An item's terms stand by descending bound (highest impact times repeats). Where the sum of the bounds from a term to the
-   last is below the threshold, no document that has these alone can be among the K best: they are pruned.
-4. The other terms are joined with the vectors: candidates. Those whose sum and the pruned terms' bounds together
-   stay below the threshold go.
-5. What is left is scored exactly, over all terms, and ranked; equal scores by ascending doc_id.
-
-What scales: the join of step 4 makes at most one row for each item's unpruned term and document that has it, which grows
-with documents times items' terms and never with pairs of documents. A frequent term's list is cut in each task to K rows
-before it moves (step 2), and joins meet the lists by the terms of items, which the planner broadcasts or not by their
-known size. The set of items' terms goes to the tasks of step 1 only below VOCABULARY_BYTES; beyond, vectors hold all terms,
-and the joins leave the others out. Either way gives the same rows.
+   last stays below the threshold, no document that has these alone can be among the K best. Terms from where that sum
+   stays below SHARE of the threshold are pruned: with less left out, sums say more about what a document can reach.
+4. The other terms are joined with the vectors and summed by item and document: candidates, where the sum and the pruned
+   terms' bounds together reach the threshold. The K-th highest of these sums is a threshold too, and a better one.
+5. What still reaches it is scored exactly, over all terms, and ranked; equal scores by ascending doc_id.
+
+What scales: the join of step 4 makes at most one row for each item's term and document that has it, which grows with
+documents times items' terms and never with pairs of documents. Vectors lie in buckets of their documents, so that these rows
+are summed where they are made: no shuffle carries them. A frequent term's list is cut in each task to K rows before it
+moves (step 2), and joins meet the lists by the terms of items, which the planner broadcasts or not by their known size.
+The set of items' terms goes to the tasks of step 1 only below VOCABULARY_BYTES; beyond, vectors hold all terms, and the
+joins leave the others out. Either way gives the same rows.
 
 Defined cases: null texts have no terms and texts without terms aren't counted; items without terms, or whose terms nobody
 has, have no rows; rows that share a doc_id, or have none, are documents of their own (without doc_id last among equal scores,
@@ -35,9 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, dropped, saved, table
+from quern.llm.common import ascii_lower, dropped, saved, saved_by, table, tasks_for
 
 K = 20
+#: Any share up to 1 gives the same rows.
+SHARE = 0.5
+#: Bytes of documents for each bucket of vectors.
+BUCKET = 16 << 20
 TERM_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Largest size of the items' terms, in bytes of UTF-8, that is sent to every task.
 VOCABULARY_BYTES = 16 << 20
@@ -115,7 +121,9 @@ def best(scores: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
 def searched(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_id, rank, doc_id, score: each item's k highest-scoring documents with a score above 0."""
     asked = saved(item_terms(items, item_id, item_text), "asked")
-    held = saved(vectors(docs, asked.select("term").distinct(), doc_id, text), "vectors")
+    tasks = tasks_for(docs, BUCKET)
+    taken = vectors(docs, asked.select("term").distinct(), doc_id, text)
+    held = saved_by(taken.repartition(tasks, "row"), "row", tasks, "vectors")
     n_docs, n_terms = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -142,16 +150,20 @@ def searched(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_i
     floors = saved(floors.select("q", F.greatest("stored", F.coalesce("reached", F.lit(0))).alias("floor")), "floors")
 
     onward = Window.partitionBy("q").orderBy(F.desc("bound"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ordered = bounds.join(floors, "q").withColumn("suffix", F.sum("bound").over(onward)).withColumn("pruned", F.col("suffix") < F.col("floor"))
+    ordered = bounds.join(floors, "q").withColumn("suffix", F.sum("bound").over(onward)).withColumn("pruned", F.col("suffix") < F.col("floor") * SHARE)
     rest = F.coalesce(F.sum(F.when(F.col("pruned"), F.col("bound"))).over(Window.partitionBy("q")), F.lit(0))
-    kept = saved(ordered.withColumn("rest", rest).filter(~F.col("pruned")).select("q", "term", (F.col("times") * F.col("w")).alias("weight"), (F.col("floor") - F.col("rest")).alias("needed")), "kept-terms")
-
-    met = shares.join(kept, "term").groupBy("q", "row").agg(F.sum(F.col("weight") * F.col("share")).alias("sum"), F.first("needed").alias("needed"))
-    candidates = saved(met.filter(F.col("sum") >= F.col("needed")).select("q", "row"), "candidates")
+    kept = ordered.withColumn("rest", rest).filter(~F.col("pruned"))
+    kept = saved(kept.select("q", "term", (F.col("times") * F.col("w")).alias("weight"), "floor", "rest"), "kept-terms")
+
+    sums = shares.join(kept, "term").groupBy("row", "q").agg(F.sum(F.col("weight") * F.col("share")).alias("sum"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    reaching = saved(sums.filter(F.col("sum") + F.col("rest") >= F.col("floor")).select("q", "row", "sum", "rest"), "reaching")
+    raised = best(reaching, "q", k, F.desc("sum"), F.col("row")).filter(F.col("place") == k).select("q", F.col("sum").alias("raised"))
+    within = F.col("sum") + F.col("rest") >= F.coalesce("raised", F.lit(0))
+    candidates = saved(reaching.join(raised, "q", "left").filter(within).select("q", "row"), "candidates")
     ranks = best(scored(candidates).filter("score > 0"), "q", k, F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("row"))
     names = weighed.select("q", "item_id").distinct()
     out = saved(ranks.join(names, "q").select("item_id", F.col("place").cast("int").alias("rank"), "doc_id", "score"), "ranked")
-    for done in (asked, held, weighed, heads, bounds, seeds, floors, kept, candidates):
+    for done in (asked, held, weighed, heads, bounds, seeds, floors, kept, reaching, candidates):
         dropped(done)
     return out
 
