@@ -21,6 +21,7 @@ PLACES = {
     "op8_decontamination": "decontamination",
     "op9_token_output": "tokens",
     "op10_mixing": "mixing",
+    "op11_quality_classifier": "attention",
     "op12_lexical_search": "retrieval",
     "op13_vector_codes": "codes",
 }
