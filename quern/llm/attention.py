@@ -77,8 +77,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     blank = IS_BLANK[b]
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    home = np.searchsorted(ends, first, side="right")
-    words = np.bincount(home, minlength=len(texts))
+    words = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(texts))
     passages = np.maximum(1, -(-words // PASSAGE))
     out = np.zeros((passages.sum(), ROW), np.float32)
     if not len(first):
@@ -86,14 +85,19 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(first)) - np.repeat(np.cumsum(words) - words, words)
     of = np.repeat(np.cumsum(passages) - passages, words) + place // PASSAGE  # passage of each word
     opens = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    at, starts = of[opens], first[opens]
-    n = np.bincount(of, minlength=len(out))[at].astype(np.float32)
+    at, n = of[opens], np.bincount(of, minlength=len(out))[of[opens]].astype(np.float32)
+    starts = np.zeros(len(out), np.int64)  # a text's first passage begins with the text, others with a word
+    starts[at] = first[opens]
+    starts[np.cumsum(passages) - passages] = np.concatenate([[0], ends[:-1]])
 
     def by_passage(values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, starts, dtype=np.float32)
+        return np.add.reduceat(values, starts, dtype=np.float32)[at]
+
+    def by_word(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, opens, dtype=np.float32)
 
     kind = KIND[b]
-    length = by_passage(~blank)
+    kind[ends - 1] = 0  # the ends of texts were added here
     for k in range(1, len(KINDS) + 1):
         out[at, k - 1] = by_passage(kind == k) / n
     since = np.zeros(len(b), np.int64)
@@ -105,14 +109,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((hashes, of))
     new = np.ones(len(first), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])
-    rates = (
-        np.log1p(n) / 5,
-        length / n / 10,
-        by_passage(b >= 0x80) / length,
-        np.add.reduceat(kind[first] == 1, opens, dtype=np.float32) / n,
-        np.add.reduceat(same, opens, dtype=np.float32) / n,
-        np.bincount(of[order][new], minlength=len(out))[at] / n,
-    )
+    length = by_passage(~blank)
+    rates = (np.log1p(n) / 5, length / n / 10, by_passage(b >= 0x80) / length, by_word(kind[first] == 1) / n, by_word(same) / n, by_word(new) / n)
     for k, rate in enumerate(rates, len(KINDS)):
         out[at, k] = rate
     bucket = ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
