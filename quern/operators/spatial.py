@@ -1,32 +1,124 @@
 """Nearest-neighbour and radius joins on coordinates.
 
-Points meet over grid cells of a fixed size, an equi-join that scales with the points; a nearest neighbour that isn't
-within the cells around a point is looked for in ever wider cells, by rounds over the points still without one. The first
-cells are as wide as the places' density asks for. Ties go to the smaller key, in two scalar steps, as ordering by structs
-would cost hash aggregation.
+Places are indexed by a tree of square cells: a cell with more than LEAF places (counted by coordinates) is cut into 16, one with
+fewer is a leaf, and a cell whose places all lie in one of its parts stands for that part, so that a place far away or
+a dense town costs no levels. Each cell stores the box of its places and their number. Points go down the tree by rounds,
+one for each level, over equi-joins on cells:
+
+* a nearest place lies in no cell whose box is further than the nearest side of some other box is known to be; of the
+  leaves that are left the likeliest is looked into first, and the others only where they can still win;
+* of the places within a radius, cells wholly inside give their stored totals (counts, sets of names), cells outside
+  go, and only the leaves on the border are met place by place.
+
+Bounds are sums of the same differences and squares as distances, which rounding keeps in order: nothing is lost by it.
+Ties go to the smaller key.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import haversine, planar
-from quern.sources.files import settled
-
-def _cells(df: DataFrame, y: str, x: str, size: float, around: int) -> DataFrame:
-    cy, cx = (F.floor(F.col(c) / size).cast("long") for c in (y, x))
-    steps = F.sequence(F.lit(-around), F.lit(around))
-    spread = df.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)) if around else df.withColumns({"dy": F.lit(0), "dx": F.lit(0)})
-    return spread.withColumn("cell y", cy + F.col("dy")).withColumn("cell x", cx + F.col("dx")).drop("dy", "dx")
-
-
-def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs at most radius apart, with d2, their squared distance; left has (id, py, px), right (key, qy, qx)."""
-    size = float(radius)
-    met = _cells(left, "py", "px", size, 0).join(_cells(right, "qy", "qx", size, 1), ["cell y", "cell x"]).drop("cell y", "cell x")
-    d2 = (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")) + (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx"))
-    return met.withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+from quern.sources.files import Scratch, scratch, settled
+
+#: Coordinates in a leaf at most, unless they lie closer than the width of all places by 2^26.
+LEAF = 16
+LEVELS = 13
+CELL = ("level", "cy", "cx")
+BOX = ("south", "north", "west", "east")
+
+
+def _d2(dy: Column, dx: Column) -> Column:
+    return dy * dy + dx * dx
+
+
+def _squares() -> tuple[Column, Column, Column]:
+    """Squared distances of (py, px) to a box: the least, the greatest, and one within which a place lies for certain."""
+    south, north, west, east, py, px = (F.col(c) for c in (*BOX, "py", "px"))
+    zero = F.lit(0.0)
+    out_y, out_x = F.greatest(south - py, zero, py - north), F.greatest(west - px, zero, px - east)
+    far_y, far_x = F.greatest(F.abs(py - south), F.abs(py - north)), F.greatest(F.abs(px - west), F.abs(px - east))
+    near_y, near_x = F.least(F.abs(py - south), F.abs(py - north)), F.least(F.abs(px - west), F.abs(px - east))
+    return _d2(out_y, out_x), _d2(far_y, far_x), F.least(_d2(near_y, far_x), _d2(far_y, near_x))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """layers: the cells by depth, each with its parent (level, cy, cx), its name (the struct cell), leaf, n and box;
+    members: the coordinates in each leaf; nodes: level, cy, cx and name of all cells; spots: the coordinates and where they
+    lie at the last level, with the number of places there and the least of their keys."""
+
+    layers: list[DataFrame]
+    members: DataFrame
+    nodes: DataFrame
+    spots: DataFrame
+
+    @staticmethod
+    def built(places: DataFrame, tables: Scratch, leaf: int = LEAF) -> Tree | None:
+        """places: (key, qy, qx); None without any."""
+        ends = places.agg(*[f(c).alias(f"{k} {c}") for c in ("qy", "qx") for k, f in (("least", F.min), ("most", F.max))]).first()
+        if ends["least qy"] is None:
+            return None
+        width = max(ends["most qy"] - ends["least qy"], ends["most qx"] - ends["least qx"]) or 1.0
+        last = (1 << 2 * LEVELS) - 1
+
+        def step(c: str) -> Column:
+            return F.least(F.lit(last), F.floor((F.col(c) - ends[f"least {c}"]) / width * (last + 1))).cast("long")
+
+        spots = places.groupBy("qy", "qx").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+        spots = tables.keep(spots.withColumns({"iy": step("qy"), "ix": step("qx")}))
+        counted = _at_all_levels(spots).groupBy(*CELL).agg(
+            F.count("*").alias("spots"), F.sum("n").alias("n"), F.min("qy").alias("south"), F.max("qy").alias("north"), F.min("qx").alias("west"), F.max("qx").alias("east"))
+        # cells with one another's box and count hold the same places: the widest is where they hang, the narrowest names them
+        merged = counted.groupBy("spots", "n", *BOX).agg(F.min(F.struct(*CELL)).alias("top"), F.max(F.struct(*CELL)).alias("cell"))
+        leafy = (F.col("spots") <= leaf) | (F.col("cell.level") == LEVELS)
+        above = [(F.col("top.level") - 1).alias("level"), F.shiftright("top.cy", 2).alias("cy"), F.shiftright("top.cx", 2).alias("cx")]
+        nodes = tables.keep(merged.select(*above, "cell", leafy.alias("leaf"), "n", *BOX))
+        layers = [tables.keep(nodes.filter("level < 0"))]
+        while not (inner := layers[-1].filter("not leaf").select("cell.*")).isEmpty():
+            layers.append(tables.keep(nodes.join(inner, list(CELL))))
+        hung = reduce(DataFrame.unionByName, [x.select("cell", "leaf") for x in layers])
+        leaves = hung.filter("leaf").select("cell.*", "cell")
+        members = _at_all_levels(spots).join(leaves, list(CELL)).select("cell", "key", "n", "qy", "qx")
+        return Tree(layers, tables.keep(members), hung.select("cell.*", "cell"), spots)
+
+
+def _at_all_levels(spots: DataFrame) -> DataFrame:
+    """The rows with the cell that holds them at each level."""
+    spread = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    shift = f"(2 * ({LEVELS} - level))"
+    return spread.withColumns({"cy": F.expr(f"shiftright(iy, {shift})"), "cx": F.expr(f"shiftright(ix, {shift})")})
+
+
+def _down(open_: DataFrame, layer: DataFrame) -> DataFrame:
+    """The rows of open_ with each part of their cell, in place of it."""
+    parts = layer.select(F.struct(*CELL).alias("of"), F.col("cell").alias("part"), "leaf", "n", *BOX)
+    return open_.join(parts, F.col("cell") == F.col("of")).drop("cell", "of").withColumnRenamed("part", "cell")
+
+
+def _at_root(points: DataFrame) -> DataFrame:
+    root = F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("cx"))
+    return points.select("id", "py", "px", root.alias("cell"))
+
+
+def reachable(points: DataFrame, tree: Tree, tables: Scratch) -> DataFrame:
+    """(id, py, px, cell, lower, best): the leaves that may hold a point's nearest place, by the bounds of boxes."""
+    open_ = _at_root(points).withColumn("best", F.lit(float("inf")))
+    ended = []
+    for layer in tree.layers:
+        met = _down(open_, layer)
+        lower, _, surely = _squares()
+        best = F.least("best", F.min("surely").over(W.partitionBy("id")))
+        met = met.withColumns({"lower": lower, "surely": surely}).withColumn("best", best).filter(F.col("lower") <= F.col("best"))
+        met = tables.keep(met.select("id", "py", "px", "cell", "leaf", "lower", "best"))
+        ended.append(met.filter("leaf").drop("leaf"))
+        open_ = met.filter("not leaf").drop("leaf", "lower")
+    return reduce(DataFrame.unionByName, ended)
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -35,31 +127,46 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "id").filter(F.col("d2") == F.col("least")).groupBy("id").agg(F.min("key").alias("key"), F.min("d2").alias("d2"))
 
 
-def first_radius(right: DataFrame) -> float | None:
-    """Within it lie a few of the places, if they are spread evenly; None without places."""
-    r = right.agg(F.count("*").alias("n"), *[f(c).alias(f"{k} {c}") for c in ("qy", "qx") for k, f in (("least", F.min), ("most", F.max))]).first()
-    if not r["n"]:
-        return None
-    height, width = (r[f"most {c}"] - r[f"least {c}"] for c in ("qy", "qx"))
-    return 1.5 * ((height * width) or max(height, width) ** 2 or 1.0) ** 0.5 / r["n"] ** 0.5
-
-
-def nearest(left: DataFrame, right: DataFrame, radius: float | None = None, rounds: int = 60) -> DataFrame:
-    """(id, key, d2): the nearest right point of every left point; the radius doubles for the points that found nothing."""
-    # each round reads both again
-    left, right = settled(left.select("id", "py", "px")), settled(right.select("key", "qy", "qx"))
-    radius = radius or first_radius(right)
-    if radius is None:
-        return _least(within(left.limit(0), right, 1.0).select("id", "key", "d2"))
-    found, rest = None, left
-    for _ in range(rounds):
-        some = settled(_least(within(rest, right, radius).select("id", "key", "d2")))
-        found = some if found is None else found.unionByName(some)
-        rest = settled(rest.join(some.select("id"), "id", "left_anti"))
-        if rest.isEmpty():
-            break
-        radius *= 2
-    return found
+def _met(leaves: DataFrame, tree: Tree) -> DataFrame:
+    """(id, key, n, d2) of the points of (id, py, px, cell) with all places of their leaves."""
+    both = leaves.join(tree.members.withColumnRenamed("cell", "of"), F.col("cell") == F.col("of"))
+    return both.select("id", "key", "n", _d2(F.col("py") - F.col("qy"), F.col("px") - F.col("qx")).alias("d2"))
+
+
+def likely_pairs(points: DataFrame, tree: Tree, tables: Scratch) -> DataFrame:
+    """(id, key, d2): pairs of points and places, among them the nearest of every point."""
+    place = F.row_number().over(W.partitionBy("id").orderBy("lower", "cell"))
+    ranked = tables.keep(reachable(points, tree, tables).withColumn("place", place))
+    first = tables.keep(_met(ranked.filter("place = 1"), tree))
+    reached = first.groupBy(F.col("id").alias("same id")).agg(F.min("d2").alias("reached"))
+    others = ranked.filter("place > 1").join(reached, F.col("id") == F.col("same id")).filter("lower <= reached and lower <= best")
+    return first.unionByName(_met(others.select("id", "py", "px", "cell"), tree)).select("id", "key", "d2")
+
+
+def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, key, d2): the nearest right point of every left point. left: (id, py, px), ids differ; right: (key, qy, qx)."""
+    with scratch(left.sparkSession) as tables:
+        right = tables.keep(right.select("key", "qy", "qx"))
+        tree = Tree.built(right, tables)
+        if tree is None:
+            none = left.limit(0).select("id").crossJoin(right.limit(0).select("key"))  # no rows
+            return settled(none.withColumn("d2", F.lit(0.0)))
+        return settled(_least(likely_pairs(left, tree, tables)))
+
+
+def covered(points: DataFrame, tree: Tree, radius: float, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, cell, n) of the cells wholly within the radius of a point, as large as they can be, and (id, py, px, cell) of the
+    leaves on the border."""
+    open_, inside, border = _at_root(points), [], []
+    for layer in tree.layers:
+        met = _down(open_, layer)
+        lower, highest, _ = _squares()
+        met = met.withColumns({"lower": lower, "inside": highest <= radius * radius}).filter(F.col("lower") <= radius * radius)
+        met = tables.keep(met.select("id", "py", "px", "cell", "leaf", "n", "inside"))
+        inside.append(met.filter("inside").select("id", "cell", "n"))
+        border.append(met.filter("leaf and not inside").select("id", "py", "px", "cell"))
+        open_ = met.filter("not leaf and not inside").select("id", "py", "px", "cell")
+    return reduce(DataFrame.unionByName, inside), reduce(DataFrame.unionByName, border)
 
 
 def projected(df: DataFrame, y: str, x: str, to: tuple[str, str], lat0: Column) -> DataFrame:
@@ -72,7 +179,7 @@ def mean_latitude(df: DataFrame, y: str) -> float | None:
     return df.agg(F.avg(y)).first()[0]
 
 
-def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None = None, metric: str = "planar", radius: float | None = None) -> DataFrame:
+def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None = None, metric: str = "planar") -> DataFrame:
     """(id, key, km): nearest place by the planar (true at lat0) or the degree metric, its distance by haversine.
 
     points: (id, y, x), rows without coordinates get no place; places: (key, y, x).
@@ -87,7 +194,7 @@ def nearest_distance(points: DataFrame, places: DataFrame, lat0: float | None =
         right = places.withColumns({"qy": F.col("y"), "qx": F.col("x")})
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    best = nearest(left, right, radius)
+    best = nearest(left, right)
     to = places.select("key", F.col("y").alias("to y"), F.col("x").alias("to x"))
     km = haversine(F.col("y"), F.col("x"), F.col("to y"), F.col("to x"))
     return best.join(points, "id").join(to, "key").select("id", "key", km.alias("km"))
@@ -103,16 +210,37 @@ def radius_score(points: DataFrame, places: DataFrame, radius_km: float, lat0: f
     at = F.lit(lat0 if lat0 is not None else 0.0)
     weights = places.groupBy("name").agg(F.max("weight").alias("weight"))
     left = projected(known, "y", "x", ("py", "px"), at).select("id", "py", "px")
-    right = projected(places.dropna(subset=["y", "x"]), "y", "x", ("qy", "qx"), at).select("key", "name", "qy", "qx")
-    names = within(left, right, radius_km).select("id", "name").distinct()
-    scores = names.join(weights, "name").groupBy("id").agg(F.sum("weight").alias("sum"))
+    right = projected(places.dropna(subset=["y", "x"]), "y", "x", ("qy", "qx"), at).select("name", "qy", "qx")
+    with scratch(points.sparkSession) as tables:
+        right = tables.keep(right.distinct())
+        # one spot for each pair of coordinates, which its names are joined to
+        tree = Tree.built(right.select(F.lit(0).alias("key"), "qy", "qx").distinct(), tables)
+        if tree is None:
+            found = known.select("id", F.lit(0.0).alias("sum")).limit(0)
+        else:
+            inside, border = covered(left, tree, radius_km, tables)
+            at_spots = tree.spots.select("qy", "qx", "iy", "ix").join(right, ["qy", "qx"])
+            totals = _at_all_levels(at_spots).join(tree.nodes, list(CELL)).select(F.col("cell").alias("of"), "name").distinct()
+            whole = inside.join(tables.keep(totals), F.col("cell") == F.col("of")).select("id", "name")
+            spots = tree.members.join(right, ["qy", "qx"]).withColumnRenamed("cell", "of")
+            met = border.join(spots, F.col("cell") == F.col("of"))
+            single = met.filter(_d2(F.col("py") - F.col("qy"), F.col("px") - F.col("qx")) <= radius_km * radius_km).select("id", "name")
+            names = whole.unionByName(single).distinct()
+            found = settled(names.join(weights, "name").groupBy("id").agg(F.sum("weight").alias("sum")))
     has = F.col("y").isNotNull() & F.col("x").isNotNull()
-    return points.join(scores, "id", "left").select("id", F.when(has, F.coalesce("sum", F.lit(0.0))).alias("score"))
+    return points.join(found, "id", "left").select("id", F.when(has, F.coalesce("sum", F.lit(0.0))).alias("score"))
 
 
 def radius_count(points: DataFrame, places: DataFrame, radius: float) -> DataFrame:
     """(id, n): places within the radius in degrees."""
     left = points.dropna(subset=["y", "x"]).select("id", F.col("y").alias("py"), F.col("x").alias("px"))
     right = places.dropna(subset=["y", "x"]).select("key", F.col("y").alias("qy"), F.col("x").alias("qx"))
-    n = within(left, right, radius).groupBy("id").agg(F.count("*").alias("found"))
-    return points.join(n, "id", "left").select("id", F.coalesce("found", F.lit(0)).cast("long").alias("n"))
+    with scratch(points.sparkSession) as tables:
+        tree = Tree.built(tables.keep(right), tables)
+        if tree is None:
+            found = left.select("id", F.lit(0).cast("long").alias("found")).limit(0)
+        else:
+            inside, border = covered(left, tree, radius, tables)
+            single = _met(border, tree).filter(F.col("d2") <= radius * radius).select("id", "n")
+            found = settled(inside.select("id", "n").unionByName(single).groupBy("id").agg(F.sum("n").alias("found")))
+    return points.join(found, "id", "left").select("id", F.coalesce("found", F.lit(0)).cast("long").alias("n"))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import encode, learn, lookups, spatial
 from quern.plans.builder import renamed
+from quern.sources.files import scratch
 
 
 def rows(df):
@@ -50,6 +53,28 @@ def test_best_match_equals_brute_force(spark):
     assert {(x["k"], x["sub"]): x["y"] for x in found.collect()} == want
 
 
+def test_best_match_of_a_hot_key_compares_few(spark):
+    """Addresses with one another's typing errors under one key: equal to brute force, few of all pairs looked into."""
+    r = random.Random(12)
+    base = ["".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") for _ in range(r.randint(6, 11))) + f" {r.randrange(900)}" for _ in range(350)]
+
+    def typed(s):
+        i = r.randrange(len(s))
+        return s[:i] + r.choice(["", "x", s[i] * 2, "\U0001f600"]) + s[i + 1 :]
+
+    c = [("hot", s, float(i), i) for i, s in enumerate([*base, *base[:40], ""])] + [("hot", None, 1.0, 999)]
+    t = [("hot", typed(r.choice(base)), None, i) for i in range(80)] + [("hot", base[3], None, 90), ("hot", "q", None, 91), ("hot", "\u00fc\u00e4", None, 92)]
+    schema = "k string, sub string, y double, row_no int"
+    targets, candidates = spark.createDataFrame(t, schema), spark.createDataFrame(c, schema)
+    found = lookups.best_match(targets, candidates, ["k"], "sub", ["y"], "row_no")
+    want = {sub: max((SequenceMatcher(None, sub, s).ratio(), -n, y) for _, s, y, n in c if s is not None)[2] for _, sub, _, _ in t}
+    assert {x["sub"]: x["y"] for x in found.collect()} == want
+    with scratch(spark) as tables:
+        texts = candidates.dropna().select("k", F.col("sub").alias("candidate sub")).distinct()
+        n = lookups.to_compare(tables.keep(targets.select("k", "sub").distinct()), tables.keep(texts), ["k"], "sub", tables).count()
+    assert n < 0.05 * len(want) * 351
+
+
 def test_quantiles_and_numbers_need_no_single_task(spark):
     from quern.operators import stats
 
@@ -96,8 +121,7 @@ def test_spatial_joins_equal_brute_force(spark):
     left = points.dropna().toDF("id", "py", "px")
     right = places.select("key", places.y.alias("qy"), places.x.alias("qx"))
     want = sorted((i, min(((y - v) ** 2 + (x - w) ** 2, k) for k, _, v, w, _ in q)[1]) for i, y, x in p)
-    for radius in (0.01, None):
-        assert sorted((r["id"], r["key"]) for r in spatial.nearest(left, right, radius).collect()) == want
+    assert sorted((r["id"], r["key"]) for r in spatial.nearest(left, right).collect()) == want
     assert spatial.nearest(left, right.limit(0)).count() == 0
     n = {i: sum((y - v) ** 2 + (x - w) ** 2 <= 0.05**2 for _, _, v, w, _ in q) for i, y, x in p} | {999: 0}
     assert dict(map(tuple, spatial.radius_count(points, places, 0.05).collect())) == n
@@ -105,6 +129,70 @@ def test_spatial_joins_equal_brute_force(spark):
     assert scores[500] == 0.0 and scores[999] is None and max(v for v in scores.values() if v is not None) > 0
 
 
+def town(n: int, seed: int) -> list[tuple]:
+    """Places of a dense town of 0.1 degrees, some at one another's place."""
+    r = random.Random(seed)
+    spots = [(37 + r.random() / 10, 127 + r.random() / 10) for _ in range(n - n // 10)]
+    return [(k, *(spots[k] if k < len(spots) else spots[k % 50])) for k in range(n)]
+
+
+def test_nearest_on_uneven_places_makes_few_pairs(spark):
+    """One far place, and points in the town, around it and far away: no more than a few leaves of pairs for each point."""
+    r = random.Random(5)
+    q = town(3000, 1)
+    near = [(i, 36.9 + r.random() * 0.3, 126.9 + r.random() * 0.3) for i in range(150)]
+    away = [(150 + i, 37 + r.uniform(-40, 40), 127 + r.uniform(-40, 40)) for i in range(60)]
+
+    def pairs(p, places):
+        left, right = spark.createDataFrame(p, "id long, py double, px double"), spark.createDataFrame(places, "key long, qy double, qx double")
+        with scratch(spark) as tables:
+            met = spatial.likely_pairs(left, spatial.Tree.built(right, tables), tables).collect()
+        want = sorted((i, *min(((y - v) * (y - v) + (x - w) * (x - w), k) for k, v, w in places)) for i, y, x in p)
+        assert sorted((x["id"], x["d2"], x["key"]) for x in spatial.nearest(left, right).collect()) == want
+        return len(met)
+
+    even = pairs(near, q)
+    assert even < 150 * 4 * spatial.LEAF
+    assert pairs(near, [*q, (9000, -60.0, -170.0)]) < 1.5 * even
+    assert pairs(away, [*q, (9000, -60.0, -170.0)]) < 60 * 6 * spatial.LEAF
+    assert pairs(near, [(k, 37.05, 127.05) for k in range(5, 2000)]) == 150  # one spot
+
+
+def test_radius_over_dense_cells_meets_the_border_alone(spark):
+    r = random.Random(6)
+    q = town(6000, 2)
+    p = [(i, 37 + r.random() / 10, 127 + r.random() / 10) for i in range(40)] + [(99, 50.0, 10.0)]
+    points, places = spark.createDataFrame(p, "id long, y double, x double"), spark.createDataFrame(q, "key long, y double, x double")
+    radius = 0.04
+    want = {i: sum((y - v) ** 2 + (x - w) ** 2 <= radius**2 for _, v, w in q) for i, y, x in p}
+    assert dict(map(tuple, spatial.radius_count(points, places, radius).collect())) == want
+    left, right = points.toDF("id", "py", "px"), places.toDF("key", "qy", "qx")
+    with scratch(spark) as tables:
+        tree = spatial.Tree.built(right, tables)
+        inside, border = spatial.covered(left, tree, radius, tables)
+        met, cells = spatial._met(border, tree).count(), inside.count()
+    assert sum(want.values()) > 50_000 and met + cells < 0.35 * sum(want.values())
+
+
+def test_radius_score_by_names(spark):
+    r = random.Random(7)
+    q = [(k, f"n{r.randrange(30)}" if k % 9 else None, y, x, float(k % 4)) for k, y, x in town(800, 3)] + [(5000, "nowhere", None, 127.0, 9.0)]
+    p = [(i, 37 + r.random() / 10, 127 + r.random() / 10) for i in range(50)] + [(60, None, 1.0)]
+    points = spark.createDataFrame(p, "id long, y double, x double")
+    places = spark.createDataFrame(q, "key long, name string, y double, x double, weight double")
+    weight = {}
+    for _, name, _, _, w in q:
+        if name is not None:
+            weight[name] = max(weight.get(name, 0.0), w)
+    rad = math.pi / 180 * 6371.0
+    lat0 = 37.05
+    near = lambda y, x, v, w: ((y - v) * rad) ** 2 + ((x - w) * rad * math.cos(math.radians(lat0))) ** 2 <= 2.5**2
+    want = {i: None if y is None else sum(weight[n] for n in {n for _, n, v, w, _ in q if n is not None and v is not None and near(y, x, v, w)}) for i, y, x in p}
+    got = dict(map(tuple, spatial.radius_score(points, places, 2.5, lat0).collect()))
+    assert got == want
+    assert {s for _, s in map(tuple, spatial.radius_score(points, places.limit(0), 2.5, lat0).collect())} == {0.0, None}
+
+
 def test_encoders_learn_from_training_alone(spark):
     train = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, "c")], "_org_idx int, v string")
     assert rows(encode.first_seen_codes(train, "v")) == [("a", 1), ("b", 0), ("c", 2)]
@@ -119,8 +207,6 @@ def test_encoders_learn_from_training_alone(spark):
 
 
 def test_blend_and_dispatch(spark):
-    from pyspark.sql import functions as F
-
     mix = learn.blend({"a": F.lit(10.0), "b": F.lit(20.0)}, {"a": 7, "b": 3})
     assert abs(spark.range(1).select(mix).first()[0] - 13) < 1e-12
     with pytest.raises(ValueError):
