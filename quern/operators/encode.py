@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import filled
@@ -72,3 +73,43 @@ def hash_split(df: DataFrame, key: str, fifths: int = 4) -> tuple[DataFrame, Dat
     edge = f"{fifths * (16**8) // 5:08x}" if fifths < 5 else "g"
     early = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8) < edge
     return df.filter(early), df.filter(~early)
+
+
+def drawn_order(key: str, seed: int = 42) -> Column:
+    """A text that sorts rows in a drawn order; no two keys share it."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+def ordered_statistics(df: DataFrame, key: str, column: str, target: str, to: str, weight: float = 1.0, seed: int = 42) -> DataFrame:
+    """df with the mean target of the rows with the same category that come before in a drawn order, drawn towards the mean
+    of all by `weight` rows: a row never sees its own target. A missing category is one of its own; keys differ.
+
+    A category is cut into 256 ranges of the order. Sums run within a range and over the ranges' totals, so that no task
+    holds a hot category.
+    """
+    order, part = unused_name(df, "order"), unused_name(df, "part")
+    y = F.col(target).cast("double")
+    prior = df.agg(F.avg(y)).first()[0]
+    held = df.withColumn(order, drawn_order(key, seed)).withColumn(part, F.substring(order, 1, 2))
+    totals = held.groupBy(F.col(column).alias("its category"), F.col(part).alias("its part")).agg(F.sum(y).alias("part sum"), F.count(y).alias("part n"))
+    before = W.partitionBy("its category").orderBy("its part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns({"sum before": F.sum("part sum").over(before), "n before": F.sum("part n").over(before)}).drop("part sum", "part n")
+    within = W.partitionBy(column, part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = held.withColumns({"own sum": F.sum(y).over(within), "own n": F.count(y).over(within)})
+    met = own.join(totals, F.col(column).eqNullSafe(F.col("its category")) & (F.col(part) == F.col("its part")))
+    total = lambda kind: F.coalesce(F.col(f"{kind} before"), F.lit(0)) + F.coalesce(F.col(f"own {kind}"), F.lit(0))
+    value = (total("sum") + F.lit(weight) * F.lit(prior)) / (total("n") + F.lit(weight))
+    return met.withColumn(to, value).select(*df.columns, to)
+
+
+def target_statistics(train: DataFrame, column: str, target: str, weight: float = 1.0) -> DataFrame:
+    """(value, to): what rows outside of training get for a category, by all training rows."""
+    y = F.col(target).cast("double")
+    prior = train.agg(F.avg(y)).first()[0]
+    return train.groupBy(F.col(column).alias("value")).agg(((F.sum(y) + F.lit(weight) * F.lit(prior)) / (F.count(y) + F.lit(weight))).alias("to"))
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

@@ -1,4 +1,4 @@
-"""Models, ensembles and metrics on MLlib."""
+"""Models, ensembles and metrics: MLlib's, and leaf-wise boosting of this library under the name lgbm."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import boosting
+
 GBT = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 30, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9"}
 FOREST = {"numTrees": 300, "maxDepth": 24, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt"}
-DECLARED = ("gbt", "rf", "linear", "cat", "lgbm", "xgb")
+DECLARED = ("gbt", "rf", "linear", "lgbm", "cat", "xgb")
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -44,9 +46,12 @@ def best_round(errors: Sequence[float], patience: int) -> int:
     return best + 1
 
 
-def fit(train: DataFrame, features: Sequence[str], model: str, params: Mapping[str, object] | None = None, valid: DataFrame | None = None, seed: int = 42, patience: int = 50) -> Model:
-    """With validation rows, boosting keeps the rounds up to the best one (see `best_round`): it is fitted once to see the
-    errors of all rounds, and again with as many rounds as are kept, which gives the same trees."""
+def fit(train: DataFrame, features: Sequence[str], model: str, params: Mapping[str, object] | None = None, valid: DataFrame | None = None, seed: int = 42, patience: int = 50) -> Model | boosting.Boosted:
+    """With validation rows, boosting keeps the rounds up to the best one. Leaf-wise boosting (lgbm) stops `patience` rounds
+    after it. MLlib's can't stop: it is fitted once to see the errors of all rounds, and again with as many rounds as are
+    kept (see `best_round`), which gives the same trees."""
+    if model == "lgbm":
+        return boosting.fit(train, features, boosting.Settings(**{"seed": seed, "patience": patience} | dict(params or {})), valid)
     est = estimator(model, params, seed)
     rows = assembled(train, features)
     fitted = est.fit(rows)
@@ -56,21 +61,25 @@ def fit(train: DataFrame, features: Sequence[str], model: str, params: Mapping[s
     return fitted if rounds == fitted.getNumTrees else est.setMaxIter(rounds).fit(rows)
 
 
-def refit(train: DataFrame, valid: DataFrame, features: Sequence[str], fitted: Model, model: str, params: Mapping[str, object] | None = None, seed: int = 42) -> Model:
+def refit(train: DataFrame, valid: DataFrame, features: Sequence[str], fitted: Model | boosting.Boosted, model: str, params: Mapping[str, object] | None = None, seed: int = 42) -> Model | boosting.Boosted:
     """On training and validation rows, with as many boosting rounds as the first fit kept."""
-    params = dict(params or {}) | ({"maxIter": fitted.getNumTrees} if model == "gbt" else {})
+    kept = {"gbt": "maxIter", "lgbm": "rounds"}.get(model)
+    params = dict(params or {}) | ({kept: fitted.getNumTrees} if kept else {})
     return fit(train.unionByName(valid), features, model, params, seed=seed)
 
 
-def predict(fitted: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def predict(fitted: Model | boosting.Boosted, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    if isinstance(fitted, boosting.Boosted):
+        return fitted.transform(df)
     return fitted.transform(assembled(df, features)).drop("features")
 
 
-def importance(fitted: Model, features: Sequence[str]) -> DataFrame:
+def importance(fitted: Model | boosting.Boosted, features: Sequence[str]) -> DataFrame:
     """(feature, share in percent, place) by falling share."""
     from pyspark.sql import SparkSession
 
-    values = [(f, float(v)) for f, v in zip(features, fitted.featureImportances.toArray())]
+    shares = fitted.gains() if isinstance(fitted, boosting.Boosted) else fitted.featureImportances.toArray()
+    values = [(f, float(v)) for f, v in zip(features, shares)]
     df = SparkSession.getActiveSession().createDataFrame(values, "feature string, gain double")
     share = F.col("gain") / F.sum("gain").over(W.partitionBy()) * 100
     return df.select("feature", share.alias("percent")).orderBy(F.desc("percent"), "feature")
