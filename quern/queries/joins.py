@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
 from quern.operators import lookups, spatial
 from quern.queries.scalars import CUSTOMER_SQL, GAPS, YM, _with_gaps, customer_points, r6
-from quern.sources.files import looked_up
+from quern.sources.asking import asked
+from quern.sources.files import looked_up, shared_folder
 from quern.sources.files import read_table as t
 
 SUPPLIER_SQL = "(select *, 37.43 + ((s_suppkey*53)%1000)*0.00027::double as y, 126.8 + ((s_suppkey*17)%1000)*0.0004::double as x from supplier)"
@@ -20,7 +23,8 @@ def supplier_points(spark, d):
 
 def _reference(spark, d):
     ref = supplier_points(spark, d).select(F.col("s_nationkey").cast("string").alias("k"), "y", "x", "s_suppkey")
-    return lookups.last_wins(ref.filter("s_suppkey % 4 <> 0"), "k", ["y", "x"], "s_suppkey")
+    gaps = ref.withColumn("y", F.when(F.col("s_suppkey") % 4 != 0, F.col("y")))  # no place: not to be taken
+    return lookups.last_wins(gaps, "k", ["y", "x"], "s_suppkey")
 
 
 def _left(spark, d):
@@ -122,6 +126,18 @@ def s09_lookup_source(spark, d):
     return looked_up(rows, answers, "address", ["n_name"]).select("c_custkey", "n_name")
 
 
+def _place(said):
+    """Stands for a service: the address's number gives a place, and 3 has none."""
+    return None if said == "3" else (37.0 + int(said) / 100, f"place {said}")
+
+
+def s09_asked_source(spark, d):
+    """Customers with what a service answers for their nation's number, each number asked once."""
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("address"))
+    found = asked(rows, "address", _place, f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}", "y double, place string", per_second=1000.0)
+    return rows.join(found, "address", "left").select("c_custkey", "found", r6(F.col("y")).alias("y"), "place")
+
+
 REF = f"(select cast(s_nationkey as varchar) k, arg_max(y, s_suppkey) y, arg_max(x, s_suppkey) x from {SUPPLIER_SQL} where s_suppkey%4<>0 group by 1)"
 LEFT = f"(select c_custkey, cast(c_nationkey as varchar) k, y, x from {GAPS})"
 FILL = "round(case when (l.y is null or l.x is null) and r.k is not null then r.{0} else l.{0} end,6) as {0}"
@@ -150,5 +166,6 @@ QUERIES = {
     "j10_group_mean_fill": (j10_group_mean_fill, f"select c_custkey, round(coalesce(y, avg(y) over (partition by c_nationkey)),6) as y, round(coalesce(x, avg(x) over (partition by c_nationkey)),6) as x from {GAPS}"),
     "j11_semi_anti": (j11_semi_anti, f"{SPLIT} select count(*) filter (seen) as n_seen, count(*) filter (not seen) as n_unseen from (select o_custkey in (select o_custkey from o where ym<=199912) seen from o where ym>199912)"),
     "j12_align": (j12_align, "select o_orderkey as org_idx, o_orderstatus, o_totalprice as target from orders where o_orderstatus<>'P'"),
+    "s09_asked_source": (s09_asked_source, "select c_custkey, c_nationkey<>3 as found, case when c_nationkey<>3 then round(37.0::double+c_nationkey/100,6) end as y, case when c_nationkey<>3 then 'place '||c_nationkey end as place from customer"),
     "s09_lookup_source": (s09_lookup_source, "select c_custkey, n_name from customer left join (select * from nation where n_nationkey<>3) on c_nationkey=n_nationkey"),
 }

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,12 +59,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema all columns are text, for blocks to convert: no second pass infers types.
-    Empty fields, NA and NaN are missing."""
+    """CSV with a header. Without a schema all columns are text, for blocks to convert, or for `typed`. Empty fields, NA and
+    NaN are missing."""
     df = spark.read.csv(path, header=True, schema=schema) if schema else spark.read.csv(path, header=True)
     return df.withColumns({f.name: F.when(~F.col(f"`{f.name}`").isin("", "NA", "NaN", "nan", "null"), F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, T.StringType) and "." not in f.name})
 
 
+WHOLE, FRACTION, TRUTH, TEXT = 1, 2, 4, 8
+#: What a column is read as by the kinds of values that it has; all others are text.
+READ_AS = {0: "double", WHOLE: "long", FRACTION: "double", WHOLE | FRACTION: "double", TRUTH: "boolean"}
+
+
+def kinds(df: DataFrame) -> dict[str, str]:
+    """The type of each text column: whole numbers, fractions (a column of missing values alone too), truth values or text.
+
+    One aggregation over all columns: the kinds of values join, so that parts of the table combine in any order. Whole
+    numbers beyond 64 bits are fractions, and the words for infinity are too.
+    """
+
+    def kind(c: Column) -> Column:
+        said = F.trim(c)
+        whole = said.rlike("^[+-]?[0-9]+$")
+        fraction = said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") | F.lower(said).isin("inf", "-inf", "infinity", "-infinity")
+        fits = said.try_cast("long").isNotNull()
+        return F.when(c.isNull(), 0).otherwise(F.when(whole & fits, WHOLE).when(fraction, FRACTION).when(said.isin("True", "False", "TRUE", "FALSE", "true", "false"), TRUTH).otherwise(TEXT))
+
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    found = df.agg(*[F.coalesce(F.bit_or(kind(F.col(f"`{c}`"))), F.lit(0)).alias(str(k)) for k, c in enumerate(texts)]).first() if texts else ()
+    return {c: READ_AS.get(found[k], "string") for k, c in enumerate(texts)}
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """df with its text columns as what `kinds` finds them to be."""
+    return df.withColumns({c: F.trim(F.col(f"`{c}`")).cast(kind) for c, kind in kinds(df).items() if kind != "string"})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that spark.checkpoint.dir names; where that is unset, a local session gets one."""
     sc = spark.sparkContext
@@ -128,13 +157,26 @@ def cache_key(df: DataFrame, settings: dict) -> str:
 
 
 def stored(df: DataFrame, places: Places, name: str, settings: dict | None = None) -> DataFrame:
-    """df from the cache folder, written there first if this content isn't."""
+    """df from the cache folder, written there first if this content isn't.
+
+    A writer writes under a name of its own, and publishes by one rename that fails where the table is there already: of
+    several at a time the first one counts, the others let go of theirs, and nobody reads or replaces half a table.
+    """
     spark = df.sparkSession
     path = f"{places.cache}/{name}-{cache_key(df, settings or {})}.parquet"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        df.write.mode("overwrite").parquet(path)
+    gateway, jvm, conf = spark.sparkContext._gateway, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, own = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        df.write.parquet(own.toString())
+        try:
+            options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(own, target, options)
+        except Exception:
+            if not fs.exists(target):
+                raise
+            fs.delete(own, True)
     return spark.read.parquet(path)
 
 
