@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,25 +83,47 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hashed(row: Column, kind: T.DataType) -> Column:
+    """A hash of a value of any type; maps, which can't be hashed, count as their sorted entries wherever they stand."""
+
+    def plain(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.MapType):
+            return plain(F.array_sort(F.map_entries(value)), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: plain(x, kind.elementType)) if _has_map(kind.elementType) else value
+        if isinstance(kind, T.StructType) and _has_map(kind):
+            return F.when(value.isNotNull(), F.struct(*[plain(value.getField(f.name), f.dataType).alias(f"c{k}") for k, f in enumerate(kind)]))
+        return value
+
+    columns = [(row.getField(f.name), f.dataType) for f in kind] if isinstance(kind, T.StructType) else [(row, kind)]
+    return F.xxhash64(*[plain(c, k) for c, k in columns], *[c.isNull() for c, _ in columns])
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """d (a struct of all columns, so that their names clash with nothing) and own: the doc_id where one row alone has it, else
-    (several rows, or null) a hash of the row, 2^62 or more, so that it comes after usual ids. Rows that are equal in all
-    columns are one row first."""
+    """d (a struct of all columns, so that their names clash with nothing) and own, a number that names the row and orders it.
+
+    Where no doc_id is null or on several rows, own is the doc_id. Else it is the row's place in the order of doc_id,
+    nulls last, and of a hash of the row among equal ones; rows that are equal in all columns are one row first. Places are
+    counted within ranges of that order, of which only the sizes meet.
+    """
     counted = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    shared = saved(counted.select(F.col("doc_id").alias("shared id")), "shared-ids")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    doc_id = F.col("d")["doc_id"]
-    if shared.isEmpty():
-        return held.select("d", doc_id.cast("long").alias("own"))
-    same = doc_id.eqNullSafe(F.col("shared id"))
-    maps = {f.name for f in docs.schema if isinstance(f.dataType, T.MapType)}
-    columns = [F.array_sort(F.map_entries(F.col("d")[c])) if c in maps else F.col("d")[c] for c in docs.columns]
-    hashed = F.xxhash64(*columns, *[c.isNull() for c in columns]).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
-    of_their_own = held.join(shared, same, "left_anti").select("d", doc_id.cast("long").alias("own"))
-    rows = held.join(shared, same, "left_semi").withColumn("own", hashed).dropDuplicates(["own"])
-    ids = rows.filter(doc_id.isNotNull()).groupBy(doc_id.alias("id")).agg(F.count("*").alias("n"), F.min("own").alias("alone"))
-    named = rows.join(ids.filter("n = 1").select("alone"), F.col("own") == F.col("alone"), "left")
-    return of_their_own.unionByName(named.select("d", F.when(F.col("alone").isNotNull(), doc_id.cast("long")).otherwise(F.col("own")).alias("own")))
+    if counted.isEmpty():
+        return held.select("d", F.col("d")["doc_id"].cast("long").alias("own"))
+    rows = held.select("d", F.col("d")["doc_id"].alias("its id"), hashed(F.col("d"), docs.schema).alias("hash")).dropDuplicates(["its id", "hash"])
+    order = (F.col("its id").isNull(), F.col("its id"), F.col("hash"))
+    ranged = saved(rows.select("its id", "hash").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
+    sizes = ranged.groupBy(F.col("part").alias("its part")).agg(F.count("*").alias("n"))
+    before = sizes.select("its part", (F.sum("n").over(W.orderBy("its part")) - F.col("n")).alias("before"))  # a row for each range
+    placed = ranged.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(*order))).join(before, F.col("part") == F.col("its part"))
+    placed = placed.select(F.col("its id").alias("same id"), F.col("hash").alias("same hash"), (F.col("before") + F.col("place") - 1).alias("own"))
+    return rows.join(placed, F.col("its id").eqNullSafe(F.col("same id")) & (F.col("hash") == F.col("same hash"))).select("d", "own")
 
 
 def unused(df: DataFrame, name: str) -> str:

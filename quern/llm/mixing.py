@@ -1,15 +1,20 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial shards, pseudorandom index permutations.
 
-Each source's words, in a fixed order of its documents, form one stream that is cut into blocks of `block` words. A
-source's target is met in slots: whole passes over its blocks, then part of one more pass in an order given by a
-pseudorandom permutation of block indices; the last slot takes only a beginning of its block, so that a source's
-words come within one of its target. Every slot draws its output shard by a hash; with the slots of a source fixed,
-the numbers of its slots per shard are multinomial. Slots and blocks meet in a join by (source, index). `sharded` gives
-the mix itself, block by block in its shards; `mix` counts what its slots take of each document, and `resampled` says the
-same as rows of documents.
-
-Nothing here is gathered by source alone: stream offsets are summed in two levels, source by hash bucket (as many
-buckets as the square root of the number of rows), slots are dealt out in chunks, and the join's key is the block.
+1. Each source's words, in a fixed order of its documents, form one stream that is cut into blocks of `block` words. Its
+   target is a number of slots: whole passes over its blocks, then part of one more; the last slot takes only a
+   beginning of its block, so that a source's words come within one of its target.
+2. The counts of each source's slots in each output shard are drawn, multinomial for a source: every shard is as likely
+   for every slot.
+3. A shard's slots of a source are a run of the source's slots, as long as was drawn. A slot's block is that which a
+   pseudorandom permutation of the source's block indices gives it.
+4. Slots and blocks meet in a join by (source, index).
+
+The shards' slots are a table, which everything reads: `sharded` gives the mix itself, block by block in its shards; `mix`
+counts what the shards hold of each document, and `resampled` says the same as rows of documents.
+
+Nothing here is gathered by source or doc_id alone: stream offsets are summed in two levels, source by bucket (as many
+buckets as the square root of the number of rows) of a hash of id, text and copy; slots are drawn in chunks, and the join's
+key is the block.
 
 Defined cases: a null text has size 0; a null source is a source like others and sorts last; documents and sources
 of size 0 take 0; in `mix` repeated rows, and rows that share a doc_id or have none, count each on its own, in the other two
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import BLANK_CLASS, WORD_CLASS, identified, let, n_words, saved, table, words
 
 BLOCK = 128
-SHARD_SLOTS = 1024
+SHARD_SLOTS = 1 << 16
 SEED = 20
 ROUNDS = 24
 #: A word with the blanks before it.
@@ -76,65 +81,85 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return filled.select("source", "n", "size", "rank", "weight", target.alias("target"))
 
 
-def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row per slot: rank, slot, index of the block, words it takes at most, and the output shard."""
+def needs(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rank, words, whole, passes, rest, blocks, n_slots) of each source with words: what its target comes to in slots."""
     s = sources.filter("size > 0").select(
         "rank", "size",
         F.floor(F.col("target") + 0.5).cast("long").alias("words"),
         F.floor(F.col("size") / block).cast("long").alias("whole"),
     )
-    s = (
+    return (
         s.withColumn("passes", F.floor(F.col("words") / F.col("size")).cast("long"))
         .withColumn("rest", F.col("words") - F.col("passes") * F.col("size"))
         .withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
         .withColumn("n_slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block).cast("long"))
-        .withColumn("all_slots", F.sum("n_slots").over(W.partitionBy()))
+        .filter("n_slots > 0")
     )
+
+
+def drawn(needed: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(rank, shard, count, first): how many slots of each source each output shard has, and the first of them.
+
+    A multinomial draw: each of a source's slots throws a hash for its shard, and the throws are counted.
+    """
     chunk = 4096
-    chunks = s.filter("n_slots > 0").withColumn(
+    n_shards = F.ceil(F.sum("n_slots").over(W.partitionBy()) / shard_slots).cast("long")  # a row for each source
+    chunks = needed.select("rank", "n_slots", n_shards.alias("shards")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk).cast("long")))
     )
     first = F.col("chunk") * chunk
     # as many tasks as a shuffle has: chunks are few and small, what they become isn't
+    tasks = int(needed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    throws = chunks.repartition(tasks, "rank", "chunk").withColumn("throw", F.explode(F.sequence(first, F.least(first + chunk, F.col("n_slots")) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.col("throw"), F.lit("shard")), F.col("shards"))
+    counts = throws.groupBy("rank", shard.alias("shard")).agg(F.count("*").alias("count"))
+    return counts.withColumn("first", F.sum("count").over(W.partitionBy("rank").orderBy("shard")) - F.col("count"))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per slot: rank, slot, index of the block, words it takes at most, and the output shard."""
+    needed = needs(sources, block)
+    counts = drawn(needed, seed, shard_slots).join(needed, "rank")
+    part = 4096  # of a shard's run at a time, so that a source that fills shards alone is dealt out too
+    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / part).cast("long"))))
+    start = F.col("first") + F.col("part") * part
     tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = chunks.repartition(tasks, "rank", "chunk").withColumn(
-        "slot", F.explode(F.sequence(first, F.least(first + chunk, F.col("n_slots")) - 1))
-    )
+    one = parts.repartition(tasks, "rank", "shard", "part").withColumn("slot", F.explode(F.sequence(start, F.least(start + part, F.col("first") + F.col("count")) - 1)))
     nth = F.pmod(F.col("slot"), F.col("blocks"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     key = F.xxhash64(F.lit(seed), F.col("rank"))
-    n_shards = F.ceil(F.col("all_slots") / shard_slots).cast("long")
     return one.select(
         "rank", "slot",
         F.when(nth < F.col("whole"), permuted(nth, F.col("whole"), key)).otherwise(nth).alias("index"),
         F.when(turn < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - nth * block)).cast("long").alias("take"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.col("slot"), F.lit("shard")), n_shards).alias("shard"),
+        "shard",
     )
 
 
-def shard_counts(dealt: DataFrame) -> DataFrame:
-    """Slots of each source in each output shard."""
-    return dealt.groupBy("shard", "rank").agg(F.count("*").alias("n_slots"))
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, source, size, hash, copy) of every row; rows with equal doc_id, source and text are numbered as copies."""
+    said = F.col(f"`{text}`")
+    rows = docs.select("doc_id", "source", n_words(said).alias("size"), F.xxhash64(said).alias("hash"))
+    counted = rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
 def offsets(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with rank and the place of the document's first word in its source's stream."""
+    """Rows of `measured` with rank and the place of the document's first word in its source's stream."""
     n = sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, int(n**0.5))
     named = sources.select(F.col("source").alias("its"), "rank", F.col("size").alias("source_size"), "target")
-    rows = sized.join(named, F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    total = sized.join(named, F.col("source").eqNullSafe(F.col("its"))).groupBy(
-        "rank", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    ).agg(F.sum("size").alias("bucket_size"))
+    bucket = F.pmod(F.xxhash64("doc_id", "hash", "copy"), F.lit(buckets))
+    rows = sized.join(named, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumn("bucket", bucket)
+    total = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(W.partitionBy("rank").orderBy("bucket")) - F.col("bucket_size")
-    within = W.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("rank", "bucket").orderBy("doc_id", "hash", "copy", "size").rowsBetween(W.unboundedPreceding, 0)
     return (
         rows.withColumn("within", F.sum("size").over(within) - F.col("size"))
         .withColumn("row", F.count("*").over(within))
         .join(total.select("rank", "bucket", before.alias("before")), ["rank", "bucket"])
         .withColumn("offset", F.col("before") + F.col("within"))
-        .drop("before", "within")
+        .drop("before", "within", "hash", "copy")
     )
 
 
@@ -163,9 +188,9 @@ def sharded(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots:
     """The mix: shard, place (from 0 in the shard), source, n_words and text of every slot. Blocks are packed once, of the
     words of the documents that they span, and joined to the slots that name them."""
     held = identified(docs)
-    sized = saved(held.select(F.col("own").alias("doc_id"), "d.source", n_words(F.col("d")[text]).alias("size")), "sizes")
+    sized = saved(measured(held.select(F.col("own").alias("doc_id"), "d.source", F.col("d")[text].alias("text"))), "sizes")
     sources = saved(targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), weights), "sources")
-    dealt = slots(sources, block, seed, shard_slots)
+    dealt = saved(slots(sources, block, seed, shard_slots), "shards")
     placed = offsets(sized, sources).filter("size > 0").select("rank", F.col("doc_id").alias("placed id"), "size", "offset")
     met = held.select("own", words(F.col("d")[text]).alias("words")).join(placed, F.col("own") == F.col("placed id"))
     first, last = (F.floor(x / block).cast("long") for x in (F.col("offset"), F.col("offset") + F.col("size") - 1))
@@ -194,11 +219,11 @@ def mixed(found: DataFrame) -> DataFrame:
 
 def planned(docs: DataFrame, block: int, seed: int, text: str, weights: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """The sources with their targets, and the pieces of all documents."""
-    sized = saved(docs.select("doc_id", "source", n_words(F.col(f"`{text}`")).alias("size")), "sizes")
+    sized = saved(measured(docs, text), "sizes")
     sources = saved(
         targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")), weights), "sources"
     )
-    return sources, pieces(offsets(sized, sources), slots(sources, block, seed), block)
+    return sources, pieces(offsets(sized, sources), saved(slots(sources, block, seed), "shards"), block)
 
 
 def resampled(docs: DataFrame, block: int = BLOCK, seed: int = SEED, text: str = "text", weights: Sequence[float] = WEIGHTS) -> DataFrame:

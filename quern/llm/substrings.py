@@ -22,8 +22,8 @@ first; of the others it already knows that they go. So a passage that a third of
 group. A 32-byte name that stands among many different contexts (a sample of documents finds such names) isn't dealt
 by name but by run: all strings of its runs go on to round 3, whatever the sample says results are the same.
 
-Defined cases: texts are their UTF-8 bytes, null ones empty; rows that share a doc_id, or have none, are documents of
-their own, which come after all others in the order of a hash; rows that are equal in doc_id and text are one document;
+Defined cases: texts are their UTF-8 bytes, null ones empty; rows that share a doc_id are documents of their own, at
+its place, in the order of a hash, and rows without doc_id come last, likewise; rows that are equal in doc_id and text are one document;
 other columns are left aside, whatever their names; documents under the threshold lose nothing; texts are read in segments, so that their length is bounded by one row's memory alone; an empty table gives an
 empty result.
 """

@@ -11,7 +11,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, lines, neardup, substrings, tokens, toxicity
+from quern.llm import common, decontamination, lines, neardup, substrings, tokens, toxicity
 from tests.llm.conftest import prose
 
 
@@ -33,9 +33,9 @@ class Groups:
 def test_substrings(spark, docs, empty):
     q = "".join(chr(97 + (k * k * 7 + k) % 26) for k in range(400))
     extra = [(100, q), (101, "x" * 250), (102, "zz" + q[100:300] + "é" * 80), (103, "ab" * 120), (104, q[20:119]), (105, "é" * 80 + "k" + q[20:120]), (None, q[:150])]
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    rows = {(10**6 if r["doc_id"] is None else r["doc_id"]): (r["text"] or "").encode() for r in df.collect()}  # without doc_id: last
-    seen, want = set(), {}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*extra, (3, q[30:300]), (3, "k" * 101), (3, "kk" + "é" * 80)], "doc_id long, text string"))
+    rows = {(r["doc_id"] is None, r["doc_id"], r["own"]): (r["text"] or "").encode() for r in common.identified(df).select("own", "d.*").collect()}
+    seen, want = set(), []
     for i in sorted(rows):
         b = rows[i]
         gone = bytearray(len(b))
@@ -45,9 +45,11 @@ def test_substrings(spark, docs, empty):
             seen.add(b[k : k + 100])
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        want.append((i[1], len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     found = substrings.deduplicated(df).collect()
-    assert {(10**6 if r["doc_id"] is None else r["doc_id"]): (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found} == want
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found), key=str) == sorted(want, key=str)
+    shared = spark.createDataFrame([(3, q[:200]), (3, "another"), (5, q[:200])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.deduplicated(shared).collect()) == [(3, 0), (3, 0), (5, 200)]
     assert substrings.deduplicated(empty).count() == 0
 
 

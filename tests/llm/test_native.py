@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
+import struct
+from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import chat, licenses, mixing, quality
+from quern.llm import chat, common, licenses, mixing, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -148,7 +151,8 @@ def test_shards_hold_the_mix(spark, docs, empty):
 def test_shard_counts_are_multinomial(spark):
     sources = spark.createDataFrame([(0, 40_000, 30_000.0), (1, 9_000, 18_000.0)], "rank long, size long, target double")
     dealt = mixing.slots(sources, block=10, shard_slots=300)
-    counts = {(r["rank"], r["shard"]): r["n_slots"] for r in mixing.shard_counts(dealt).collect()}
+    counts = {(r["rank"], r["shard"]): r["count"] for r in mixing.drawn(mixing.needs(sources, 10), shard_slots=300).collect()}
+    assert {(r["rank"], r["shard"]): r["count"] for r in dealt.groupBy("rank", "shard").count().collect()} == counts
     slots_of, shards = {0: 3000, 1: 1800}, len({s for _, s in counts})
     assert shards == 16 and {k: sum(v for (q, _), v in counts.items() if q == k) for k in slots_of} == slots_of
     for rank, n in slots_of.items():  # chi-squared against equal chances, 15 degrees of freedom
@@ -157,6 +161,83 @@ def test_shard_counts_are_multinomial(spark):
     assert set(index.values()) == {1} and len(index) == 3000
 
 
+def test_mix_by_a_plain_reading(spark, docs):
+    """Streams, slots, permutation and blocks by loops, with the hash as it is published: what mix takes of each row."""
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    whole, short = (lambda x: None if x is None else struct.pack("<q", x)), (lambda x: struct.pack("<i", x))
+    block = 16
+    extra = spark.createDataFrame([(None, "one two three", "s"), (None, "one two three", "s"), (None, "four", "s"), (3, "five six", "s"), (3, "five six", "s"), (3, "seven", None)], "doc_id long, text string, source string")
+    rows = docs.select("doc_id", "text", "source").unionByName(extra)
+    found = mixing.mix(rows, block=block).collect()
+    said = [(r["doc_id"], r["text"], r["source"]) for r in rows.collect()]
+    sizes = [len(re.findall(WORD, t or "")) for _, t, _ in said]
+    by_source = defaultdict(int)
+    for (_, _, s), n in zip(said, sizes):
+        by_source[s] += n
+    ranks = {s: k for k, s in enumerate(sorted(by_source, key=lambda s: (s is None, s or "")))}
+    asked, weights, bounds = 1.5 * sum(sizes), {s: (3.0, 1.0, 2.0)[k % 3] for s, k in ranks.items()}, {s: 2.0 * n for s, n in by_source.items()}
+    full = set()
+    while True:
+        level = (asked - sum(bounds[s] for s in full)) / sum(w for s, w in weights.items() if s not in full)
+        above = {s for s in weights if s not in full and level * weights[s] > bounds[s]}
+        if not above:
+            break
+        full |= above
+    buckets, copies, streams = max(1, int(len(said) ** 0.5)), Counter(), defaultdict(list)
+    for (i, t, s), n in zip(said, sizes):
+        h = hashed(t)
+        copies[i, s, h] += 1
+        c = copies[i, s, h]
+        streams[s].append((hashed(whole(i), whole(h), whole(c)) % buckets, i is not None, i or 0, h, c, n, i))
+    want = []
+    for s, stream in streams.items():
+        stream.sort()
+        size, key = by_source[s], hashed(short(20), short(ranks[s]))
+        taken = [0] * size
+        words = int(bounds[s] if s in full else math.floor(level * weights[s] + 0.5))
+        passes, rest, blocks = (words // size, words % size, -(-size // block)) if size else (0, 0, 0)
+        for slot in range(passes * blocks + -(-rest // block)):
+            nth, turn, n = slot % blocks, slot // blocks, size // block
+            x = nth
+            for i in range(24) if nth < n else ():
+                other = (hashed(whole(key), short(i), short(1)) % n - x) % n
+                x = other if hashed(whole(key), short(i), whole(max(x, other)), short(2)) % 2 == 0 else x
+            for w in range(x * block, min(size, x * block + (block if turn < passes else min(block, rest - nth * block)))):
+                taken[w] += 1
+        start = 0
+        for *_, n, i in stream:
+            want.append((i, n, size, sum(taken[start : start + n])))
+            start += n
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_rows_without_an_id_of_their_own_are_spread(spark):
+    """Thousands of rows with one id, or none, fall in many buckets, repeated ones too."""
+    rows = spark.range(3000).selectExpr("cast(if(id % 3 = 0, null, 7) as bigint) as doc_id", "concat('w', id % 500, ' x') as text", "'s' as source")
+    sized = mixing.measured(rows)
+    sources = mixing.targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    per = [r["count"] for r in mixing.offsets(sized, sources).groupBy("bucket").count().collect()]
+    assert sum(per) == 3000 and len(per) > 45 and max(per) < 150
+
+
+def test_rows_are_ordered_by_id_and_hash(spark):
+    rows = [(5, "b", {"k": 1}), (None, "c", {"k": 1}), (3, "x", {"k": 1, "l": 2}), (3, "y", {"k": 1}), (3, "y", {"k": 1}), (None, "d", None), (9, None, {})]
+    schema = "doc_id long, own string, m map<string,int>"
+    df = spark.createDataFrame(rows, schema).withColumn("deep", F.array(F.struct(F.col("m").alias("m"), F.array("m").alias("ms"))))
+    found = sorted((r["own"], r["d"]["doc_id"], r["d"]["own"]) for r in common.identified(df.repartition(3)).collect())
+    assert [n for n, _, _ in found] == list(range(6)) and [i for _, i, _ in found] == [3, 3, 5, 9, None, None]
+    assert found == sorted((r["own"], r["d"]["doc_id"], r["d"]["own"]) for r in common.identified(df.repartition(5)).collect())
+    alone = df.filter("doc_id > 3")
+    assert sorted(r["own"] for r in common.identified(alone).collect()) == [5, 9]
+
+
 def test_resampled_says_what_mix_counts(spark, docs):
     unique = docs.dropDuplicates(["doc_id"])
     rows = mixing.resampled(unique, block=16)
