@@ -6,7 +6,9 @@ filter of at most FILTER_BITS, whatever the benchmark's size; one that is overfu
 the items are few, the planner sends them to every task; else both sides are dealt by name, and adaptive execution splits
 names that very many documents say. Texts don't move: what meets for a document and an item are places.
 
-Hits on one diagonal merge into maximal matches. Tiling then takes the longest match that overlaps no tile so far, again
+A seed comes with the words before and after it, and the join keeps only hits where these differ on one side: the first and the
+last of each maximal match. A document and an item that say the same words over and over have as many hits as the
+product of their lengths, but no more matches than the sum. Tiling then takes the longest match that overlaps no tile so far, again
 and again; a match that partly overlaps one is cut to what is free and goes back in line. The share of an item's words
 under tiles is its coverage, whatever their order in the document, so that a passage whose parts were moved about
 counts like one in order. A document leaks an item if the coverage is COVER or more.
@@ -61,54 +63,50 @@ def rolled(values: np.ndarray) -> np.ndarray:
     return mix((running[SEED:] - running[:-SEED]) * rising[SEED - 1 :])
 
 
-def tiles(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy tiling of maximal matches (length, place in the document, place in the item)."""
+def tiles(matches: list[tuple[int, int, int]], words: int | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiling of maximal matches (length, place in the document, place in the item); words: of the item, after which
+    nothing is left to do."""
     line = [(-n, p, t) for n, p, t in matches]
     heapify(line)
-    taken_p: set[int] = set()
-    taken_t: set[int] = set()
-    out = []
-    while line:
+    free_p = np.ones(max((p + n for n, p, _ in matches), default=0), bool)
+    free_t = np.ones(max((t + n for n, _, t in matches), default=0), bool)
+    out, left = [], words
+    while line and left != 0:
         n, p, t = heappop(line)
         n = -n
-        free = [p + k not in taken_p and t + k not in taken_t for k in range(n)]
-        if all(free):
+        free = free_p[p : p + n] & free_t[t : t + n]
+        if free.all():
             out.append((n, p, t))
-            taken_p.update(range(p, p + n))
-            taken_t.update(range(t, t + n))
+            free_p[p : p + n] = free_t[t : t + n] = False
+            left = left - n if left is not None else None
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= SEED:
-                    heappush(line, (start - k, p + start, t + start))
-                start = None
+        ends = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+        for start, end in zip(ends[::2].tolist(), ends[1::2].tolist()):
+            if end - start >= SEED:
+                heappush(line, (start - end, p + start, t + start))
     return out
 
 
-def matches_of(hits: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, place in the document, place in the item) of seeds at places (document, item)."""
-    hits = np.unique(hits, axis=0)
-    diagonal = hits[:, 0] - hits[:, 1]
-    order = np.lexsort((hits[:, 0], diagonal))
-    hits, diagonal = hits[order], diagonal[order]
-    opens = np.ones(len(hits), bool)
-    opens[1:] = (diagonal[1:] != diagonal[:-1]) | (hits[1:, 0] != hits[:-1, 0] + 1)
-    first = np.flatnonzero(opens)
-    n = np.diff(np.append(first, len(hits))) + SEED - 1
-    return list(zip(n.tolist(), hits[first, 0].tolist(), hits[first, 1].tolist()))
+def matches_of(ends: np.ndarray) -> np.ndarray:
+    """Maximal matches (length, place in the document, place in the item) of the first and last seeds of all, as rows
+    (place in the document, place in the item, 1 for a first one, 1 for a last one)."""
+    ends = np.unique(ends, axis=0)
+    ends = ends[np.lexsort((ends[:, 0], ends[:, 0] - ends[:, 1]))]  # along each diagonal first and last ones take turns
+    first, last = ends[ends[:, 2] == 1], ends[ends[:, 3] == 1]
+    return np.stack([last[:, 0] - first[:, 0] + SEED, first[:, 0], first[:, 1]], axis=1)
 
 
-def covered_at_most(hits: np.ndarray) -> int:
-    """Words of the item that lie under any seed: tiles can't cover more."""
-    t = np.unique(hits[:, 1])
-    return int(np.minimum(np.diff(t), SEED).sum()) + SEED
+def covered_at_most(matches: np.ndarray) -> int:
+    """Words of the item that lie under any match: tiles can't cover more."""
+    rises = np.zeros((matches[:, 0] + matches[:, 2]).max() + 1, np.int64)
+    np.add.at(rises, matches[:, 2], 1)
+    np.add.at(rises, matches[:, 0] + matches[:, 2], -1)
+    return int((rises.cumsum() > 0).sum())
 
 
-def seeds(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(id, row, n_words, seed, place) of all runs of SEED words, of those that the filter lets through."""
+def seeds(texts: DataFrame, edge: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(id, row, n_words, seed, place, before, after) of all runs of SEED words, of those that the filter lets through; before
+    and after are hashes of the words next to the run, or `edge` where there is none."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +115,8 @@ def seeds(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                 part = batch.slice(k, 64)
                 said = [tokens(t) for t in part.column(2).to_pylist()]
                 sizes = np.array([len(w) for w in said])
-                hashes = rolled(word_hashes([w for ws in said for w in ws]))
+                named = word_hashes([w for ws in said for w in ws])
+                hashes = rolled(named)
                 ends = np.cumsum(sizes)
                 # of all words in a row, the runs that lie in one text
                 own = np.repeat(np.arange(len(said)), np.maximum(sizes - SEED + 1, 0))
@@ -126,11 +125,15 @@ def seeds(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                 if shared is not None:
                     ok = np.flatnonzero(passes(shared.value, h))
                     own, place, h = own[ok], place[ok], h[ok]
-                columns = [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(sizes[own], pa.int32()), pa.array(h.view(np.int64)), pa.array(place, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n_words", "seed", "place"])
+                at = (ends - sizes)[own] + place
+                words = np.concatenate([named.view(np.int64), [edge]])
+                before = np.where(place > 0, words[at - 1], edge)
+                after = np.where(place + SEED < sizes[own], words[np.minimum(at + SEED, len(named))], edge)
+                columns = [part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(sizes[own], pa.int32()), pa.array(h.view(np.int64)), pa.array(place, pa.int32()), pa.array(before), pa.array(after)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n_words", "seed", "place", "before", "after"])
         forget()
 
-    return texts.mapInArrow(send, "id long, row long, n_words int, seed long, place int")
+    return texts.mapInArrow(send, "id long, row long, n_words int, seed long, place int, before long, after long")
 
 
 def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +173,21 @@ def leaked(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text: st
         said = F.col(f"`{said}`").cast("string")
         return df.select(F.col(name).cast("long").alias("id"), F.xxhash64(said).alias("row"), said.alias("text"))
 
-    items = seeds(named(benchmark, "item_id", "text").distinct()).toDF("item_id", "item", "n_words", "seed", "t")
-    hits = seeds(named(docs, "doc_id", text), filter_of(items)).toDF("doc_id", "row", "own", "seed", "p")
-    met = hits.join(items, "seed").groupBy("doc_id", "row", "item_id", "item", "n_words").agg(F.collect_list("p").alias("p"), F.collect_list("t").alias("t"))
+    items = seeds(named(benchmark, "item_id", "text").distinct(), -1).toDF("item_id", "item", "n_words", "seed", "t", "item before", "item after")
+    hits = seeds(named(docs, "doc_id", text), -2, filter_of(items)).toDF("doc_id", "row", "own", "seed", "p", "before", "after")
+    opens, closes = F.col("before") != F.col("item before"), F.col("after") != F.col("item after")
+    met = hits.join(items, (hits["seed"] == items["seed"]) & (opens | closes))
+    met = met.groupBy("doc_id", "row", "item_id", "item", "n_words").agg(F.collect_list(F.struct("p", "t", opens.cast("int").alias("opens"), closes.cast("int").alias("closes"))).alias("ends"))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, row, item_id, n, p, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = np.stack([np.array(p, np.int64), np.array(t, np.int64)], axis=1)
+            starts = batch.column(4).offsets.to_numpy()
+            flat = np.stack([c.to_numpy() for c in batch.column(4).values.flatten()], axis=1).astype(np.int64)
+            for k, (doc_id, row, item_id, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                found = matches_of(flat[starts[k] : starts[k + 1]])
                 if covered_at_most(found) >= cover * n:
-                    laid = tiles(matches_of(found))
+                    laid = tiles([tuple(m) for m in found.tolist()], n)
                     share = sum(k for k, _, _ in laid) / n
                     if share >= cover:
                         out.append((doc_id, row, item_id, share, len(laid), min(p for _, p, _ in laid)))
@@ -188,7 +195,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, text: st
             columns = zip(*out) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in LEAKS.split(", ")])
 
-    return met.select("doc_id", "row", "item_id", "n_words", "p", "t").mapInArrow(tile, LEAKS)
+    return met.select("doc_id", "row", "item_id", "n_words", "ends").mapInArrow(tile, LEAKS)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,8 @@ def test_substrings(spark, docs, empty):
         want.append((i[1], len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     found = substrings.deduplicated(df).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in found), key=str) == sorted(want, key=str)
-    shared = spark.createDataFrame([(3, q[:200]), (3, "another"), (5, q[:200])], "doc_id long, text string")
+    once = prose(31, 80)[:200]
+    shared = spark.createDataFrame([(3, once), (3, "another"), (5, once)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.deduplicated(shared).collect()) == [(3, 0), (3, 0), (5, 200)]
     assert substrings.deduplicated(empty).count() == 0
 
@@ -354,6 +355,23 @@ def test_leaks_against_the_textbook(spark):
     assert {(x["doc_id"], said[x["doc_id"], x["row"]], x["item_id"]) for x in found.collect()} == want and len(want) > 10
 
 
+def test_leaks_of_repetitive_texts(spark):
+    """Equal words, short periods and both amid other words, against the textbook; and very long ones in little time."""
+    import time
+
+    r = random.Random(3)
+    said = ["a " * 40, "a b " * 20, "x y " + "a " * 25 + "z", "a b c " * 9 + "a a a a a a a", "q " + "b a " * 13, " ".join(r.choice("ab") for _ in range(60)), "a " * 5]
+    items = [(0, "a " * 9), (1, "a b " * 8), (2, "a b c a b c a a a a a a"), (3, "z " + "a " * 12 + "q"), (4, " ".join(r.choice("ab") for _ in range(14)))]
+    want = {(i, k) for i, d in enumerate(said) for k, t in items if textbook(d.split(), t.split()) >= decontamination.COVER * len(t.split())}
+    found = decontamination.leaked(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want and len(want) >= 9
+    long = spark.createDataFrame([(1, "a " * 20_000), (2, "b a " * 10_000)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a " * 1000), (2, "a b " * 500)], "item_id long, text string")
+    began = time.time()
+    rows = {(x["doc_id"], x["item_id"]): (x["coverage"], x["n_tiles"]) for x in decontamination.leaked(long, asked).collect()}
+    assert rows == {(1, 1): (1.0, 1), (2, 2): (1.0, 1)} and time.time() - began < 30
+
+
 def test_rolled_hashes_name_windows():
     x = np.random.default_rng(0).integers(0, 2**64, 300, np.uint64)
     x[200:210] = x[20:30]

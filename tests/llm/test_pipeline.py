@@ -63,7 +63,7 @@ def test_stages_on_odd_rows(spark, docs):
 
 def test_registered():
     names = queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(oracle_sql()) <= set(names)
 
 
