@@ -31,11 +31,15 @@ NAMES = {
     "k-135㎡초과": "전용면적세대수_135",
     "기타/의무/임대/임의=1/2/3/4": "의무_임대_임의_기타",
 }
-NUMERIC = "전용면적 층 건축년도 좌표X 좌표Y 계약년 계약월 건물나이 건축지연 강남권여부 계약분기 지하철거리 버스거리 지하철500m내점수 버스300m내점수 단지면적비중 단지면적정보결측 전체동수 전체세대수 연면적 주거전용면적 관리비부과면적 건축면적 주차대수 주차대수_세대당 세대수_동수당 연면적_전용면적비 건설시공사_빈도 시행사_빈도 아파트명_빈도".split()
-CATEGORICAL = "구 동 복도유형 난방방식 관리방식 세대전기계약방법 청소비관리형태 단지분류 거래유형 임대구분 세대분양형태".split()
-INTEGERS = "계약년 계약월 계약분기 층 건축년도".split()
-PREMIUM = "강서구 영등포구 동작구 서초구 강남구 송파구 강동구".split()
-UNITS = "전용면적세대수_60 전용면적세대수_60_85 전용면적세대수_85_135 전용면적세대수_135".split()
+NUMERIC = [
+    "전용면적", "층", "건축년도", "좌표X", "좌표Y", "계약년", "계약월", "건물나이", "건축지연", "강남권여부", "계약분기", "지하철거리",
+    "버스거리", "지하철500m내점수", "버스300m내점수", "단지면적비중", "단지면적정보결측", "전체동수", "전체세대수", "연면적", "주거전용면적",
+    "관리비부과면적", "건축면적", "주차대수", "주차대수_세대당", "세대수_동수당", "연면적_전용면적비", "건설시공사_빈도", "시행사_빈도", "아파트명_빈도",
+]
+CATEGORICAL = ["구", "동", "복도유형", "난방방식", "관리방식", "세대전기계약방법", "청소비관리형태", "단지분류", "거래유형", "임대구분", "세대분양형태"]
+INTEGERS = ["계약년", "계약월", "계약분기", "층", "건축년도"]
+PREMIUM = ["강서구", "영등포구", "동작구", "서초구", "강남구", "송파구", "강동구"]
+UNITS = ["전용면적세대수_60", "전용면적세대수_60_85", "전용면적세대수_85_135", "전용면적세대수_135"]
 COMPLEX = {"gu": "주소(시군구)", "dong": "주소(읍면동)", "road_main": "주소(도로명)", "road_sub": "주소(도로상세주소)", "y": "좌표Y", "x": "좌표X"}
 
 
