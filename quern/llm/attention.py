@@ -149,7 +149,7 @@ class Model:
 
     def gathered(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For bags of `counts` passages each: highest exponent, sum of exp of the others less it, weighted sum of h."""
-        h, _, _, e = self.encoded(self.standardised(x))
+        h, _, _, e = self.encoded(self.standardised(x.astype(np.float64)))
         starts = np.cumsum(counts) - counts
         top = np.maximum.reduceat(e, starts)
         weight = np.exp(e - np.repeat(top, counts))
@@ -171,7 +171,8 @@ class Model:
                 old, new = np.exp(top[k] - high), np.exp(t - high)
                 top[k], total[k], z[k] = high, total[k] * old + s * new, z[k] * old + v * new
             start = end
-        return sigmoid(z / total[:, None] @ self.layers["c"] + self.layers["c0"]).astype(float)
+        # texts that are scored together differ by the partitions, and with them the last digits of products
+        return np.round(sigmoid(z / total[:, None] @ self.layers["c"].astype(np.float64) + self.layers["c0"]), 9)
 
 
 def gradients(model: Model, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

@@ -11,7 +11,8 @@ the join is broadcast. The texts are read once; what leaves that stage is one ro
 later groups are keyed by document, so that a license that a third of all documents carry makes no hot key.
 
 Defined cases: a null text counts as an empty one; texts are scanned whole; rows with an equal doc_id are judged by
-their own texts, and repeated rows get equal results; a null doc_id is kept; an empty table gives an empty result.
+their own texts, and repeated rows get equal results; a null doc_id is kept; other columns are left
+aside, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

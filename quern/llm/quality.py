@@ -4,7 +4,7 @@ Every measure is a built-in expression of the row alone, so the operator is one
 no row meets another, and a source that holds a third of all rows costs what its bytes cost.
 
 Defined cases: a null text counts as an empty one (no words, base_failed, not kept); texts of any length are
-measured whole; repeated rows are judged each on its own; an empty table gives an empty result; columns of the
+measured whole; repeated rows are judged each on its own; a null doc_id is kept as it is; an empty table gives an empty result; columns of the
 input that clash with the measures' names stay out of the way, as measures live in one struct until the end.
 """
 
