@@ -207,12 +207,12 @@ def s01_csv_scan(spark, d):
 def s01_inferred_types(spark, d):
     """Text columns of a CSV file become whole numbers, fractions, truth values and texts."""
     c = t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", (F.col("c_custkey") % 2 == 0).alias("even"), F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).cast("long").alias("nation"))
-    return typed(read_csv(spark, shared_csv(c, "customer")))
+    return typed(read_csv(spark, shared_csv(c, "customer"))).withColumn("nation", F.coalesce("nation", F.lit(-1)))
 
 
 QUERIES = {
     "s01_csv_scan": (s01_csv_scan, "select n_nationkey, n_name, n_regionkey from nation"),
-    "s01_inferred_types": (s01_inferred_types, "select c_custkey, c_acctbal::double as c_acctbal, c_mktsegment, c_custkey%2=0 as even, (case when c_nationkey<>3 then c_nationkey end)::bigint as nation from customer"),
+    "s01_inferred_types": (s01_inferred_types, "select c_custkey, c_acctbal::double as c_acctbal, c_mktsegment, c_custkey%2=0 as even, (case when c_nationkey<>3 then c_nationkey else -1 end)::bigint as nation from customer"),
     "s01_scan_project": (s01_scan_project, "select o_orderkey as order_id, o_custkey as customer_id, o_totalprice as price from orders"),
     "s02_ext_join": (s02_ext_join, "select c_custkey, n_name, r_name from customer left join (nation join region on n_regionkey=r_regionkey) on c_nationkey=n_nationkey"),
     "s06_round_even_sink": (s06_round_even_sink, "select l_orderkey, l_linenumber, cast(round_even(l_quantity/4, 0) as bigint) as target from lineitem"),
