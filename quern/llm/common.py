@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -41,6 +42,44 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scope(threading.local):
+    """Tables saved since the scopes of this thread began, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+    def note(self, df: DataFrame) -> DataFrame:
+        if self.open:
+            self.open[-1].append(df)
+        return df
+
+
+_scope = Scope()
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are saved inside are deleted at the end, but those that are handed to what this gives: a result that is
+    read later. An operator's lazy result must be saved inside, as it reads such tables."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scope.open.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scope.open.pop()
+        for df in own:
+            if not any(df is k for k in kept):
+                dropped(df)
+        for df in kept:
+            _scope.note(df)
+
+
 @contextmanager
 def no_shuffles_kept(spark: SparkSession) -> Iterator[None]:
     """Spark deletes the shuffle files of a query as soon as it ends: what comes out of these is written to tables."""
@@ -58,7 +97,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     with no_shuffles_kept(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _scope.note(spark.read.schema(df.schema).parquet(path))
 
 
 def saved_by(df: DataFrame, key: str, tasks: int, name: str) -> DataFrame:
@@ -68,7 +107,7 @@ def saved_by(df: DataFrame, key: str, tasks: int, name: str) -> DataFrame:
     named = TABLE + path.rpartition("-")[2]
     with no_shuffles_kept(spark):
         df.write.option("compression", "zstd").option("path", path).bucketBy(tasks, key).sortBy(key).saveAsTable(named)
-    return spark.table(named)
+    return _scope.note(spark.table(named))
 
 
 def dropped(df: DataFrame) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import attention, chat, decontamination, licenses, lines, mixing, neardup, quality, retrieval, substrings, tokens, toxicity
+from quern.llm import attention, chat, common, decontamination, licenses, lines, mixing, neardup, quality, retrieval, substrings, tokens, toxicity
 from tests.llm.conftest import prose
 
 LONG = prose(9, 30_000)
@@ -56,6 +57,22 @@ def test_rows_of_all_kinds(spark, name):
     assert apply(df.limit(0)).count() == 0
 
 
+def test_tables_end_with_their_scope(spark):
+    """What operators write goes at the end of a scope, results that are kept aside."""
+    folder = common.scratch(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    with common.scope() as keep:
+        mixed = keep(common.saved(mixing.mix(df, block=16), "mixed"))
+        with common.scope():
+            assert neardup.near_duplicates(df).count() == len(ROWS)
+        assert substrings.deduplicated(df).count() > 0
+    left = set(os.listdir(folder)) - before
+    assert mixed.count() == len(ROWS) and len(left) == 1 and next(iter(left)).startswith("mixed")
+    common.dropped(mixed)
+    assert set(os.listdir(folder)) == before
+
+
 def test_conversations_of_all_kinds(spark):
     rows = [(1, 0, "user", LONG), (1, 1, "assistant", None), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, None, "<|im_end|>"), (3, 0, "assistant", "y"), (3, 0, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
