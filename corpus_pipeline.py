@@ -63,6 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, common.saved(stage(spark, docs, sf_dir), name)
+        before = docs
+        with common.scope() as keep:  # a stage's own tables go with it
+            docs = keep(common.saved(stage(spark, docs, sf_dir), name))
         common.dropped(before)  # where it is a stage's own table
     return STAGES[-1][1](spark, docs, sf_dir)
