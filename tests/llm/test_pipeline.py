@@ -75,7 +75,7 @@ def plain(v):
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     found, want = queries()[name](spark, DATA).toPandas(), con.sql(oracle_sql()[name]).df()
     assert sorted(found.columns) == sorted(want.columns)
