@@ -35,7 +35,7 @@ PASSAGE, BUCKETS = 64, 128
 SAMPLE, LEARNED = 4000, 16
 HIDDEN, GATES = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 25, 128, 0.01, 1e-4, 7
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Kinds of bytes that are counted, each by its own characters.
 KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>", "|", "!", ".?;", ",", "\n", "()[]{}\"'-_/\\=+~^`@:")
