@@ -244,6 +244,42 @@ def test_bounds_of_edit_distance():
             assert (lines.edit_distance(a, b, most) <= most) == (distance(a, b) <= most)
 
 
+def test_bounds_of_edit_distances():
+    """Lines of some hundred characters, edited and unrelated: no bound is above the distance of a pair that it refuses."""
+    rng = np.random.default_rng(9)
+    one, two = [], []
+    for k in range(60):
+        a = "".join(rng.choice(list("abcde "), rng.integers(1, 300)))
+        b = list(a if k % 4 else "".join(rng.choice(list("abcde "), rng.integers(1, 300))))
+        for _ in range(int(rng.integers(0, 1 + len(b) // 3))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(list("abcdé"), rng.integers(0, 2))
+        one.append(a)
+        two.append("".join(b))
+    grams = lines.different_grams(one, two)
+    for a, b, g in zip(one, two, grams):
+        d = distance(a, b)
+        assert g <= 6 * d
+        for most in {0, d - 1, d, d + 1, max(len(a), len(b)) // 5}:
+            assert (lines.edit_distance(a, b, most) <= most) == (d <= most)
+
+
+def test_cross_pairs_of_lines(spark):
+    """All pairs of a bucket in different components, each once, whatever the blocks: a bucket of several blocks and small ones."""
+    rng = np.random.default_rng(10)
+    bits = lines.sketches(["one and the same line that is long enough to have its minima too"])[0].tobytes()
+    sizes = {n: int(rng.choice([100, 110, 130])) for n in range(700)}
+    placed = {(1, n): n % 300 for n in range(600)} | {(k, n): n % 300 for k in range(2, 60) for n in map(int, rng.integers(0, 700, 3))}
+    nodes = spark.createDataFrame([(n, s, bits) for n, s in sizes.items()], "node long, n_shingles long, bits binary")
+    rows = spark.createDataFrame([(k, n, c) for (k, n), c in placed.items()], "key long, node long, component long")
+    found = [tuple(r) for r in lines.cross_pairs(rows, nodes, 0.1, 0.8).collect()]
+    want = set()
+    for key in {k for k, _ in placed}:
+        of = sorted(n for k, n in placed if k == key)
+        want |= {(a, b) for a in of for b in of if a < b and a % 300 != b % 300 and 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b])}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_lines_exactly_at_the_threshold(spark):
     said = {2 * n: "a" * n for n in range(5, 101, 5)} | {2 * n + 1: "a" * (n * 4 // 5) + "b" * (n // 5) for n in range(5, 101, 5)}
     nodes = spark.createDataFrame(list(said.items()), "node long, said string")
