@@ -280,6 +280,14 @@ def test_cross_pairs_of_lines(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_rows_of_cross_pairs_carry_no_list_of_keys(spark):
+    """What is dealt to blocks has a fixed size for each row, however many buckets its node stands in."""
+    nodes = spark.createDataFrame([(1, 50, b"x")], "node long, n_shingles long, bits binary")
+    rows = spark.createDataFrame([(1, 1, 1)], "key long, node long, component long")
+    plan = lines.cross_pairs(rows, nodes, 0.1, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "collect_set" not in plan and "array<" not in plan
+
+
 def test_lines_exactly_at_the_threshold(spark):
     said = {2 * n: "a" * n for n in range(5, 101, 5)} | {2 * n + 1: "a" * (n * 4 // 5) + "b" * (n // 5) for n in range(5, 101, 5)}
     nodes = spark.createDataFrame(list(said.items()), "node long, said string")
