@@ -7,6 +7,8 @@ alone, finds each leaf's best split. The best leaf is split first, until there a
 depends on gains alone, so that all leaves that may be among the next are measured in one pass, and a tree takes about as
 many passes as it is deep; splits that turn out not to be among the best are dropped again.
 
+Passes read rows in blocks (`packed`): a Spark row is the columns of BLOCK rows, so that what Spark hands to Python costs bytes, not rows.
+
 Gradients are rounded to whole numbers of a fixed scale: their sums have no order, and equal seeds give equal trees whatever
 the partitions are. Rows and features are sampled by hashes of key, round and seed. The margins of training and validation
 rows are columns, written anew every KEPT rounds with the trees since; boosting stops `patience` rounds after the best
@@ -32,6 +34,8 @@ from quern.sources.files import Scratch, scratch
 KEPT = 8
 #: Gradients become whole numbers of at most so many bits.
 BITS = 30
+#: Rows of a block, and bytes of blocks that a reader holds at a time.
+BLOCK, HELD = 1 << 13, 16 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -70,13 +74,18 @@ class Grown:
         return a, a + 1
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins."""
-        feature, last, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
+        """The leaf of each row of bins: nodes part their rows, so that each is looked at once a level."""
         at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while len(rows := rows[feature[at[rows]] >= 0]):
-            node = at[rows]
-            at[rows] = np.where(bins[rows, feature[node]] <= last[node], left[node], right[node])
+        waiting: list[tuple[int, np.ndarray | None]] = [(0, None)]
+        while waiting:
+            node, rows = waiting.pop()
+            if self.feature[node] >= 0:
+                column = bins[:, self.feature[node]]
+                goes = (column if rows is None else column[rows]) <= self.bin[node]
+                parts = (np.flatnonzero(goes), np.flatnonzero(~goes)) if rows is None else (rows[goes], rows[~goes])
+                waiting += [(to, x) for to, x in zip((self.left[node], self.right[node]), parts) if len(x)]
+            elif rows is not None:
+                at[rows] = node
         return at
 
     def of(self, bins: np.ndarray) -> np.ndarray:
@@ -187,12 +196,54 @@ def table(df: DataFrame, model: Boosted, target: str = "target", key: str = "_or
     return held.mapInArrow(cut, "draw long, y double, bins binary, margin double")
 
 
-def _columns(batch: pa.RecordBatch, trees: Sequence[Grown]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    draw, y, margin = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-    bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(y), -1)
-    for tree in trees:
-        margin = margin + tree.of(bins)
-    return draw, y, bins, margin
+COLUMNS = ("draw", "y", "bins", "margin")
+PACKED = ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows of `table` in blocks, each column of a block as bytes (bins by feature), dealt evenly; blocks stay as they are."""
+    if dict(rows.dtypes)["y"] == "binary":
+        return rows
+
+    def block(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        draw, y, bins, margin = pa.Table.from_batches(some).combine_chunks().columns
+        bins = np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(len(y), -1)
+        return _block(draw.to_numpy(), y.to_numpy(), bins, margin.to_numpy())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, BLOCK - n)
+                batch, n = batch.slice(len(part)), n + len(part)
+                held.append(part)
+                if n == BLOCK:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    return rows.select(*COLUMNS).mapInArrow(pack, PACKED).repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _block(*columns: np.ndarray) -> pa.RecordBatch:
+    """draw, y, bins (a row for each row) and margin as one row of bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c.T).tobytes()], pa.binary()) for c in columns], list(COLUMNS))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], trees: Sequence[Grown]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """draw, y, bins and margin of each block, with the trees added to the margins."""
+    for batch in batches:
+        for row in zip(*batch.columns):
+            draw, y, bins, margin = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row, (np.int64, np.float64, np.uint8, np.float64)))
+            bins = bins.reshape(-1, len(y)).T
+            for tree in trees:
+                margin = margin + tree.of(bins)
+            yield draw, y, bins, margin
+
+
+def _kept(rows: DataFrame, tables: Scratch) -> DataFrame:
+    return tables.keep(rows, {"parquet.block.size": str(HELD)})
 
 
 def cells(rows: DataFrame, trees: Sequence[Grown], tree: Grown, asked: Sequence[int], number: int, model: Boosted) -> np.ndarray:
@@ -204,18 +255,19 @@ def cells(rows: DataFrame, trees: Sequence[Grown], tree: Grown, asked: Sequence[
         since, now, wanted = shared.value
         slot = np.full(len(now.feature), -1)
         slot[wanted] = np.arange(len(wanted))
-        n, g = np.zeros(len(wanted) * width * 256, np.int64), np.zeros(len(wanted) * width * 256, np.int64)
-        for batch in batches:
-            draw, y, bins, margin = _columns(batch, since)
-            if not len(y):
-                continue
+        n, g = (np.zeros((width, len(wanted) * 256), np.int64) for _ in range(2))
+        for draw, y, bins, margin in _blocks(batches, since):
             at = slot[now.leaf_of(bins)]
-            drawn = (at >= 0) & (uniform(draw, s.seed, number) < s.rows)
-            at, bins, slope = at[drawn], bins[drawn], np.rint((margin - y)[drawn] * scale).astype(np.int64)
+            here = np.flatnonzero(at >= 0)
+            if s.rows < 1:
+                here = here[uniform(draw[here], s.seed, number) < s.rows]
+            at, slope = at[here] * 256, np.rint((margin[here] - y[here]) * scale)
             for f in range(width):
-                place = (at * width + f) * 256 + bins[:, f]
-                n += np.bincount(place, minlength=len(n))
-                np.add.at(g, place, slope)
+                place = at + bins[here, f]
+                n[f] += np.bincount(place, minlength=n.shape[1])
+                # doubles hold sums of a block exactly: whole numbers far below 2^53
+                g[f] += np.bincount(place, slope, n.shape[1]).astype(np.int64)
+        n, g = (x.reshape(width, -1, 256).swapaxes(0, 1).ravel() for x in (n, g))
         used = np.flatnonzero(n)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(g[used])], ["cell", "n", "g"])
@@ -252,6 +304,7 @@ def best_split(cell: np.ndarray, s: Settings, scale: float, allowed: np.ndarray)
 
 def grown(rows: DataFrame, trees: Sequence[Grown], number: int, model: Boosted, measure: Callable[..., np.ndarray] = cells) -> Grown:
     """One tree, best leaf first."""
+    rows = packed(rows)
     s, width = model.settings, len(model.features)
     drawn = np.argsort(uniform(np.arange(width), s.seed, number, 1), kind="stable")[: max(1, round(width * s.features))]
     allowed = np.isin(np.arange(width), drawn)
@@ -290,10 +343,10 @@ def moved(rows: DataFrame, trees: Sequence[Grown], tables: Scratch) -> DataFrame
     shared = rows.sparkSession.sparkContext.broadcast(list(trees))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_columns(batch, shared.value)[3])], ["draw", "y", "bins", "margin"])
+        for block in _blocks(batches, shared.value):
+            yield _block(*block)
 
-    return tables.keep(rows.mapInArrow(added, "draw long, y double, bins binary, margin double"))
+    return _kept(rows.mapInArrow(added, PACKED), tables)
 
 
 def root_error(rows: DataFrame, trees: Sequence[Grown]) -> float:
@@ -301,8 +354,7 @@ def root_error(rows: DataFrame, trees: Sequence[Grown]) -> float:
     shared = rows.sparkSession.sparkContext.broadcast(list(trees))
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, y, _, margin = _columns(batch, shared.value)
+        for _, y, _, margin in _blocks(batches, shared.value):
             yield pa.RecordBatch.from_arrays([pa.array([float(((margin - y) ** 2).sum())]), pa.array([len(y)], pa.int64())], ["squares", "n"])
 
     total, n = rows.mapInArrow(squares, "squares double, n long").agg(F.sum("squares"), F.sum("n")).first()
@@ -312,10 +364,11 @@ def root_error(rows: DataFrame, trees: Sequence[Grown]) -> float:
 def boosted(rows: DataFrame, model: Boosted, valid: DataFrame | None = None, after: Callable[[Boosted], None] = lambda m: None) -> Boosted:
     """Adds trees to the model, from where it stands, until there are `rounds` or `patience` of them brought nothing.
 
-    rows, valid: of `table`, with the base as margin. after: is called with the model every KEPT rounds, and may save it.
+    rows, valid: of `table`, with the base as margin, or `packed`. after: is called with the model every KEPT rounds, and may save it.
     """
     s = model.settings
     with scratch(rows.sparkSession) as tables:
+        rows, valid = (x if x is None or packed(x) is x else _kept(packed(x), tables) for x in (rows, valid))
         if model.trees:
             rows, valid = moved(rows, model.trees, tables), moved(valid, model.trees, tables) if valid is not None else None
         since: list[Grown] = []
@@ -341,8 +394,8 @@ def fit(train: DataFrame, features: Sequence[str], settings: Settings = Settings
     """A model of training rows; with validation rows it keeps the rounds up to the best one."""
     with scratch(train.sparkSession) as tables:
         model = prepared(train, features, target, key, settings)
-        rows = tables.keep(table(train, model, target, key))
-        return boosted(rows, model, None if valid is None else tables.keep(table(valid, model, target, key)))
+        rows = _kept(packed(table(train, model, target, key)), tables)
+        return boosted(rows, model, None if valid is None else _kept(packed(table(valid, model, target, key)), tables))
 
 
 def with_settings(model: Boosted, **changed: object) -> Boosted:
@@ -362,7 +415,7 @@ def trials(train: DataFrame, valid: DataFrame, features: Sequence[str], drawn: S
     sc = spark.sparkContext
     with scratch(spark) as tables:
         bins = prepared(train, features, target, key, settings)
-        rows, held = (tables.keep(table(df, bins, target, key)) for df in (train, valid))
+        rows, held = (_kept(packed(table(df, bins, target, key)), tables) for df in (train, valid))
 
         def run(number: int, params: Mapping[str, object]) -> tuple[int, str, int, float]:
             said = json.dumps(dict(params), sort_keys=True)

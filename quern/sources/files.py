@@ -8,7 +8,7 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
@@ -116,10 +116,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df computed once."""
+    def keep(self, df: DataFrame, options: Mapping[str, str] | None = None) -> DataFrame:
+        """df computed once; options are the writer's."""
         path = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

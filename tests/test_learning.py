@@ -71,6 +71,17 @@ def test_a_tree_equals_a_plain_one(spark, data):
     assert len(got) <= s.leaves and 0 in bins  # missing values
 
 
+def test_passes_read_blocks_of_rows(spark, data, monkeypatch):
+    """What a pass hands to Python is a row for each block, dealt evenly, and has all rows; blocks are cut by rows alone."""
+    monkeypatch.setattr(boosting, "BLOCK", 32)
+    model = boosting.prepared(data[0], FEATURES, settings=S)
+    rows = boosting.table(data[0].coalesce(1), model)
+    held = boosting.packed(rows)
+    assert held.count() == -(-400 // 32) and held.rdd.getNumPartitions() > 1 and boosting.packed(held) is held
+    found = [x for r in held.collect() for x in zip(np.frombuffer(r["draw"], np.int64), np.frombuffer(r["y"]), np.frombuffer(r["bins"], np.uint8).reshape(3, -1).T.tolist())]
+    assert sorted((d, y, bytes(b)) for d, y, b in found) == sorted((r["draw"], r["y"], bytes(r["bins"])) for r in rows.collect())
+
+
 def test_rounds_stop_after_the_best_and_go_on_from_a_saved_model(spark, data):
     train, valid = data
     s = replace(S, rounds=60, patience=3, rate=0.8)
