@@ -82,6 +82,18 @@ def test_passes_read_blocks_of_rows(spark, data, monkeypatch):
     assert sorted((d, y, bytes(b)) for d, y, b in found) == sorted((r["draw"], r["y"], bytes(r["bins"])) for r in rows.collect())
 
 
+def test_rows_of_the_queries_are_not_dealt_by_few_values(spark):
+    """Segments and priorities have five values: a join dealt by them has five tasks at most, whatever the orders."""
+    seen = []
+    plain = learning.settled
+    try:
+        learning.settled = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df)
+        learning._rows(spark, "/root/testdata/sf0.001")
+    finally:
+        learning.settled = plain
+    assert len(seen) == 3 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in seen)
+
+
 def test_rounds_stop_after_the_best_and_go_on_from_a_saved_model(spark, data):
     train, valid = data
     s = replace(S, rounds=60, patience=3, rate=0.8)
