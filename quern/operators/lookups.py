@@ -161,21 +161,23 @@ def best_match(targets: DataFrame, candidates: DataFrame, keys: Sequence[str], s
 
     An empty sub takes the mean of all candidates; else the candidate whose sub has the greatest ratio, the first by
     row_no on ties. Which texts are compared, `to_compare` tells; each distinct pair is compared once, and only where its
-    bound reaches the ratio of the pair that has the greatest bound. Best candidates are maxima, which combine before the
-    shuffle: a key may be hot.
+    bound reaches the ratio of the pair that has the greatest bound. Candidates with equal keys and texts are one row first,
+    and best candidates are maxima; both combine before the shuffle: a key, or a text, may be hot.
     """
     with scratch(targets.sparkSession) as tables:
         asked = tables.keep(targets.select(*keys, sub).distinct())  # used several times, whatever it took to make the targets
         named = tables.keep(candidates.select(*keys, F.col(sub).alias("candidate sub"), *values, row_no))
         means = asked.filter(F.col(sub) == "").join(named, list(keys)).groupBy(*keys, sub).agg(*[F.avg(v).alias(v) for v in values])
-        texts = tables.keep(named.filter(F.col("candidate sub").isNotNull()).select(*keys, "candidate sub").distinct())
+        head = F.max(F.struct((-F.col(row_no)).alias("before"), *values)).alias("head")
+        heads = tables.keep(named.filter(F.col("candidate sub").isNotNull()).groupBy(*keys, "candidate sub").agg(head))
+        texts = heads.select(*keys, "candidate sub")
         bounded = tables.keep(to_compare(tables.keep(asked.filter(F.col(sub) != "")), texts, keys, sub, tables))
         first = bounded.groupBy(*keys, sub).agg(F.max_by("candidate sub", "bound").alias("likely")).withColumn("first", matching_ratio("likely", sub))
         able = bounded.join(first.drop("likely"), [*keys, sub]).filter(F.col("bound") >= F.col("first") - EVEN)
         pairs = able.select(sub, "candidate sub").distinct().withColumn("ratio", matching_ratio("candidate sub", sub))
-        scored = able.select(*keys, sub, "candidate sub").join(pairs, [sub, "candidate sub"]).join(named, [*keys, "candidate sub"])
-        best = scored.groupBy(*keys, sub).agg(F.max(F.struct("ratio", (-F.col(row_no)).alias("before"), *values)).alias("best"))
-        return settled(means.unionByName(best.select(*keys, sub, *[F.col("best")[v].alias(v) for v in values])))
+        scored = able.select(*keys, sub, "candidate sub").join(pairs, [sub, "candidate sub"]).join(heads, [*keys, "candidate sub"])
+        best = scored.groupBy(*keys, sub).agg(F.max(F.struct("ratio", "head")).alias("best"))
+        return settled(means.unionByName(best.select(*keys, sub, *[F.col("best.head")[v].alias(v) for v in values])))
 
 
 def fill_by_best_match(df: DataFrame, candidates: DataFrame, keys: Sequence[str], sub: str, values: Sequence[str], row_no: str) -> DataFrame:

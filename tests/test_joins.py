@@ -243,3 +243,15 @@ def test_points_at_one_place_go_down_the_tree_once(spark, kept):
     found = {r["id"]: r["key"] for r in spatial.nearest_distance(points, places, metric="degree").collect()}
     assert found == {i: min(spots, key=lambda s: ((s[2] - at[i % 5][0]) ** 2 + (s[3] - at[i % 5][1]) ** 2, s[0]))[0] for i in range(4000)}
     assert max(kept) < 1000
+
+
+def test_candidates_with_equal_texts_are_one(spark, monkeypatch):
+    """The last join, which a hot text would swell, reads one row of each text and not the candidates."""
+    plain, seen = lookups.settled, []
+    monkeypatch.setattr(lookups, "settled", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    rows = [("k", "abcd" if i % 2 else "abxy", float(i), i) for i in range(3000)]
+    candidates = spark.createDataFrame(rows, "k string, sub string, y double, row_no long")
+    targets = spark.createDataFrame([("k", "abce"), ("k", "xxxy"), ("k", "")], "k string, sub string")
+    found = {r["sub"]: r["y"] for r in lookups.best_match(targets, candidates, ["k"], "sub", ["y"], "row_no").collect()}
+    assert found == {"abce": 1.0, "xxxy": 0.0, "": 1499.5}
+    assert len(seen) == 1 and "head" in seen[0] and "row_no" not in seen[0]
