@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import common, decontamination, lines, neardup, substrings, tokens, toxicity
@@ -295,6 +296,54 @@ def test_lines_exactly_at_the_threshold(spark):
     assert lines.verified(pairs, nodes, 0.8).count() == 20
 
 
+def test_short_lines_with_one_phrase_are_no_candidates(spark, monkeypatch):
+    """Lines that share a phrase and are otherwise different: their pairs are looked at, and none is written."""
+    r = random.Random(12)
+    said = ["a phrase that all of these share " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(200)]
+    kept, rows = lines.saved, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "saved", counted)
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert lines.repeated_lines(df, keys=lines.PRODUCTION).count() == 0
+    assert rows["close-lines"] + rows["line-cross-pairs"] + rows["short-links"] == 0
+
+
+@pytest.mark.parametrize("rows", [4096, 8])
+def test_short_links(spark, monkeypatch, rows):
+    """Brute force over lines in buckets that one batch holds, and in such as are cut into blocks."""
+    monkeypatch.setattr(lines, "ROWS", rows)
+    r = random.Random(13)
+    said = {"a phrase of these " + "".join(r.choice("abcd ") for _ in range(r.randint(2, 40))).strip() for _ in range(60)}
+    said |= {x[:k] + r.choice(["", "\u00e9", "zz"]) + x[k + 1 :] for x in sorted(said)[:40] for k in (5, 20)}
+    said = sorted({lines.normalised(x).decode() for x in said})
+    said = [x for x in said if len(x) <= lines.SHORT] + ["x" * 65]
+    node = {x: lines.xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63) for x in said}
+    nodes = spark.createDataFrame([(n, x) for x, n in node.items()], "node long, said string")
+    found = [frozenset(x) for x in lines.short_links(nodes, lines.THOROUGH, 0.8).collect()]
+    want = {frozenset((node[a], node[b])) for a in said for b in said if a < b and 5 * distance(a, b) <= max(len(a), len(b))}
+    assert set(found) == want and len(found) == len(want) > 50
+
+
+def test_bounds_and_distances_of_many_lines():
+    r = random.Random(14)
+    said = ["".join(r.choice("ab\u00e9 ") for _ in range(r.randint(1, 64))) for _ in range(80)]
+    said += ["".join(c for c in x if r.random() < 0.9) or "a" for x in said]
+    a, b = np.arange(160), (np.arange(160) + 80) % 160
+    want = [distance(said[i], said[j]) for i, j in zip(a, b)]
+    short = lines.Short(said)
+    assert short.distances(a, b).tolist() == want
+    assert short.similar(a, b, 20).tolist() == [5 * d <= max(len(said[i]), len(said[j])) for i, j, d in zip(a, b, want)]
+    assert all(lines.edits_at_most(said[i], said[j]) >= d for i, j, d in zip(a, b, want))
+    for _ in range(300):
+        text = "".join(r.choice("aB z09\n\n  \t_-\u00c9\u03a3\u03c3\u4e00\u0130\u00df.\r\u00bd") for _ in range(r.randint(0, 40)))
+        assert lines.normalised_lines(text) == [lines.normalised(x) for x in text.split("\n")]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(1)
     rows = [(i, prose(i, 40) + (" you vilex. vilexes" if i % 4 == 0 else "")) for i in range(240)]
