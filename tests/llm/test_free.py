@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -344,6 +344,77 @@ def test_bounds_and_distances_of_many_lines():
         assert lines.normalised_lines(text) == [lines.normalised(x) for x in text.split("\n")]
 
 
+def test_near_copies_are_linked_beside_shorter_lines(spark, monkeypatch):
+    """Each bucket of a family of near copies has a shorter line that is none of them: the copies are linked all the same, before
+    all cross pairs of the bucket are made."""
+    r = random.Random(15)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(60)]
+    base = " ".join(words)
+    copies = [" ".join([*words[:k], "changed" + "abcdefghij"[k % 10], *words[k + 1 :]]) for k in range(60)]
+    keys = lambda said: set(lines.gram_keys([said], lines.PRODUCTION)[1])
+    left, others = keys(base), []
+    while left:
+        k = r.randrange(len(base) - 24)
+        other = base[k : k + 24] + "".join(r.choice("qrstuvwxyz") for _ in range(len(base) * 7 // 8 - 24))
+        if left & (own := keys(other)):
+            left -= own
+            others.append(other)
+    kept, rows = lines.saved, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "saved", counted)
+    df = spark.createDataFrame(list(enumerate([*copies, *others])), "doc_id long, text string")
+    assert {x["doc_id"] for x in lines.repeated_lines(df, keys=lines.PRODUCTION).collect()} == set(range(1, 60))
+    assert rows["line-cross-pairs"] <= 60
+
+
+@pytest.mark.parametrize("cells", [1 << 17, 64])
+def test_distances_of_many_lines(monkeypatch, cells):
+    """Lines of all sizes side by side, as far as distances that take two bytes, and in small chunks."""
+    monkeypatch.setattr(lines, "CELLS", cells)
+    r = random.Random(16)
+    said = ["".join(r.choice("ab\u00e9 ") for _ in range(r.randint(1, r.choice([8, 90, 400])))) for _ in range(90)]
+    said += ["".join(c for c in x if r.random() < r.choice([0.6, 0.9])) + r.choice(["", "z"]) or "b" for x in said] + ["x" * 1400, "x" * 700 + "y" * 700]
+    a, b = np.r_[np.arange(90), 180, np.arange(90)], np.r_[np.arange(90) + 90, 181, (np.arange(90) + 1) % 90]
+    want = np.array([lines.edit_distance(said[i], said[j], 10**6) for i, j in zip(a, b)])
+    coded = lines.coded(said)
+    for rest in (0, 20, 60):
+        most = np.maximum(coded[2][a], coded[2][b]) * rest // 100
+        found = lines.distances(coded, a, b, most)
+        assert ((found <= most) == (want <= most)).all() and (found[want <= most] == want[want <= most]).all()
+    one, two = [said[i] for i in a], [said[j] for j in b]
+    for name in ("LONG", "LONGEST"):
+        assert lines.alike(one, two, 20).tolist() == [5 * d <= max(len(x), len(y)) for d, x, y in zip(want, one, two)]
+        monkeypatch.setattr(lines, name, 50)
+
+
+@pytest.mark.parametrize("size", [64 << 20, 200])
+def test_buckets_of_lines(spark, monkeypatch, size):
+    """Rows of all buckets with two lines or more, in groups that a task sorts and in such as go on row by row."""
+    monkeypatch.setattr(lines, "GROUP", size)
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(40)]
+    said = sorted({" ".join(r.choice(words) for _ in range(r.randint(12, 40))) for _ in range(80)})
+    nodes = spark.createDataFrame(list(enumerate(said)), "node long, said string")
+    found = lines.bucketed(nodes, lines.PRODUCTION, 0.8).collect()
+    of = defaultdict(list)
+    for line, key in zip(*lines.gram_keys(said, lines.PRODUCTION)):
+        of[key].append((len(said[line]), int(line)))
+    want = []
+    for met in map(sorted, of.values()):
+        cuts = [k for k in range(1, len(met)) if met[k][0] * 80 > 100 * met[k - 1][0]]
+        want += [tuple(n for _, n in met[i:j]) for i, j in zip([0, *cuts], [*cuts, len(met)]) if j - i > 1]
+    by_key = defaultdict(list)
+    for x in found:
+        by_key[x["key"]].append(x["node"])
+        assert (x["centre"] == x["node"]) or len(said[x["centre"]]) <= len(said[x["node"]])
+    assert Counter(tuple(sorted(x)) for x in by_key.values()) == Counter(tuple(sorted(x)) for x in want) and len(want) > 20
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(1)
     rows = [(i, prose(i, 40) + (" you vilex. vilexes" if i % 4 == 0 else "")) for i in range(240)]
